@@ -124,10 +124,10 @@ def anchors(html: Column | str) -> Column:
 
 def social_links(hrefs: Column) -> Column:
     """First link per network, by document order."""
-    return F.struct(*[
-        F.get(F.filter(hrefs, lambda h, net=net: F.contains(h, F.lit(f"{net}.com"))), F.lit(0)).alias(net)
-        for net in fv.SOCIAL_NETWORKS
-    ])
+    def first(net: str) -> Column:
+        return F.get(F.filter(hrefs, lambda h: F.contains(h, F.lit(f"{net}.com"))), F.lit(0)).alias(net)
+
+    return F.struct(*[first(net) for net in fv.SOCIAL_NETWORKS])
 
 
 # ---- urls --------------------------------------------------------------------
@@ -213,10 +213,10 @@ def is_page_kind(haystack: Column, kind: str) -> Column:
 
 def first_link_per_kind(links: Column) -> Column:
     """struct<about, services, contact, careers> of the first fitting link each."""
-    return F.struct(*[
-        F.get(F.filter(links, lambda x, k=kind: is_page_kind(x["haystack"], k)), F.lit(0))["url"].alias(kind)
-        for kind in fv.LINK_PATTERNS
-    ])
+    def first(kind: str) -> Column:
+        return F.get(F.filter(links, lambda x: is_page_kind(x["haystack"], kind)), F.lit(0))["url"].alias(kind)
+
+    return F.struct(*[first(kind) for kind in fv.LINK_PATTERNS])
 
 
 # ---- fetch results -------------------------------------------------------------
