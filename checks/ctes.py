@@ -57,7 +57,7 @@ def phone(c: str) -> str:
 
 RAW_FIELDS = list(fv.HEADER_ALIASES)
 FIELDS = ["name", "name_key", "domain", "city", "state", "industry", "employees", "revenue_estimate",
-          "owner_name", "email", "phone"]
+          "owner_name", "email", "phone"]  # phone last: the SQL below relies on it
 
 
 def norm_sql(src: str) -> str:
@@ -247,17 +247,11 @@ CTES["lead_edits"] = _derived(dv.LEAD_EDITS)
 def stored_sql(src: str) -> str:
     rest = ", ".join(f for f in FIELDS if f != "phone")
     return (f"SELECT md5('b1|1|' || key) AS lead_key, '000000000001:' || lpad(CAST(ord AS STRING), 20, '0') AS seq, "
-            f"{rest}, {phone('phone')} AS phone FROM {src}")
+            f"{rest}, {phone('phone')} AS phone, 'b1' AS batch_id FROM {src}")
 
 
 CTES["stored_before"] = stored_sql("merged_before")
 CTES["stored_all"] = stored_sql("merged_all")
-CTES["matched"] = """
-SELECT i.*, coalesce(a.lead_key, b.lead_key) AS matched_key FROM merged_after i
-LEFT JOIN stored_before a ON i.domain = a.domain
-LEFT JOIN (SELECT name_key, city, arg_min(lead_key, seq) AS lead_key FROM stored_before GROUP BY name_key, city) b
-  ON i.name_key = b.name_key AND i.city IS NOT DISTINCT FROM b.city"""
-CTES["fills"] = merged_sql("matched", "matched_key", "WHERE matched_key IS NOT NULL")
 
 
 def _fill(f: str) -> str:
@@ -266,13 +260,26 @@ def _fill(f: str) -> str:
             f"THEN f.{f} ELSE s.{f} END AS {f}")
 
 
-CTES["upserted"] = f"""
-SELECT s.lead_key, s.seq, {', '.join(_fill(f) for f in FIELDS)}, 'b1' AS batch_id
-FROM stored_before s LEFT JOIN fills f ON s.lead_key = f.matched_key
+def upsert_ctes(prefix: str, stored: str, incoming: str, batch: int) -> None:
+    """CTEs <prefix>_matched, _fills, _upserted of one batch against the stored leads."""
+    CTES[f"{prefix}_matched"] = f"""
+SELECT i.*, coalesce(a.lead_key, b.lead_key) AS matched_key FROM {incoming} i
+LEFT JOIN {stored} a ON i.domain = a.domain
+LEFT JOIN (SELECT name_key, city, arg_min(lead_key, seq) AS lead_key FROM {stored} GROUP BY name_key, city) b
+  ON i.name_key = b.name_key AND i.city IS NOT DISTINCT FROM b.city"""
+    CTES[f"{prefix}_fills"] = merged_sql(f"{prefix}_matched", "matched_key", "WHERE matched_key IS NOT NULL")
+    CTES[f"{prefix}_upserted"] = f"""
+SELECT s.lead_key, s.seq, {', '.join(_fill(f) for f in FIELDS)}, s.batch_id
+FROM {stored} s LEFT JOIN {prefix}_fills f ON s.lead_key = f.matched_key
 UNION ALL
-SELECT md5('b2|2|' || key) AS lead_key, '000000000002:' || lpad(CAST(ord AS STRING), 20, '0') AS seq,
-  {', '.join(f for f in FIELDS if f != 'phone')}, {phone('phone')} AS phone, 'b2' AS batch_id
-FROM matched WHERE matched_key IS NULL"""
+SELECT md5('b{batch}|{batch}|' || key) AS lead_key, '{batch:012d}:' || lpad(CAST(ord AS STRING), 20, '0') AS seq,
+  {', '.join(f for f in FIELDS if f != 'phone')}, {phone('phone')} AS phone, 'b{batch}' AS batch_id
+FROM {prefix}_matched WHERE matched_key IS NULL"""
+
+
+upsert_ctes("second", "stored_before", "merged_after", 2)
+CTES["matched"] = "SELECT * FROM second_matched"
+CTES["upserted"] = f"SELECT lead_key, seq, {', '.join(FIELDS)}, batch_id FROM second_upserted"
 
 # ---- pages of sites ------------------------------------------------------------------
 CTES["page_text"] = f"SELECT page_id, domain, kind, url, html, {html_text('html')} AS text FROM site_raw"

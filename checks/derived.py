@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leadfit.sources.tables import spread
+
 TODAY = "2026-09-16"
 AS_OF = "2026-09-16 12:00:00"
 AS_OF_EPOCH = 1789560000  # AS_OF in UTC
@@ -170,6 +172,10 @@ def render(sql: str, dialect: str, names: dict[str, str]) -> str:
     return out
 
 
+# tables that feed costly map-only work; each is one file here
+ROW_KEYS = {"orders": "o_orderkey", "pages": "page_id", "documents": "doc_id"}
+
+
 class Inputs:
     """Given and derived tables of one data folder as DataFrames."""
 
@@ -177,7 +183,8 @@ class Inputs:
         self.spark, self.folder = spark, folder
 
     def given(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(table, ROW_KEYS[name]) if name in ROW_KEYS else table
 
     def _sql(self, text: str, **tables: DataFrame) -> DataFrame:
         return self.spark.sql(render(text, "spark", {}), **tables)

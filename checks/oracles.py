@@ -7,7 +7,7 @@ from checks.ctes import (
     ANCHOR, CTES, FIELDS, KEYS, RAW_FIELDS, YEAR, all_matches_sql, anchors_sql, attr, blocked, classify, clean,
     distinct_in_order, domain, email_list, employees, entities, findings, first_brand, first_meta, host_of,
     html_text, html_title, in_list, kinds_sql, lst, name_key, parts_sql, path_of, phone, phone_list, q, rank_email,
-    resolve, score_sql, site_host, url_key, with_ctes,
+    resolve, score_sql, site_host, upsert_ctes, url_key, with_ctes,
 )
 from leadfit import fixed_values as fv
 from leadfit.operators import briefs as bf
@@ -108,7 +108,7 @@ _F = {
 }
 for _k, _c in _F.items():
     O[_k] = f"SELECT {_KEPT} FROM worked WHERE {_c}"
-O["select_for_enrichment"] = """SELECT lead_key, name, 'pending' AS status FROM worked WHERE phone IS NULL AND domain IN (
+O["select_for_enrichment"] = """SELECT lead_key, name, 'pending' AS status FROM worked WHERE state IS NULL AND domain IN (
 SELECT 's' || CAST(lead_no AS STRING) || '.test' FROM lead_edits)"""
 O["named_rows_only"] = f"SELECT ord, {clean('name')} AS name FROM leads_raw WHERE {clean('name')} IS NOT NULL"
 O["fetch_ok"] = "SELECT url, status FROM fetch_clean WHERE ok"
@@ -301,10 +301,13 @@ O["parse_brief_responses"] = "SELECT b.lead_key, CASE WHEN a.good THEN 'ai' WHEN
 
 # ---- sinks
 O["write_snapshot_json"] = f"SELECT lead_key, score, tier, {BEST_IND} AS industry, industry AS raw_industry, notes FROM worked"
-O["store_fetches"] = """SELECT url, status, length(html) + CASE WHEN page_id % 3 = 2 THEN 6 + length(CAST(page_id AS STRING)) ELSE 0 END AS chars
+O["store_fetches"] = """SELECT url, status, length(html) + CASE WHEN page_id % 2 = 1 THEN 6 + length(CAST(page_id AS STRING)) ELSE 0 END AS chars
 FROM fetch_raw WHERE status <> 0"""
 O["store_scores"] = "SELECT lead_key, score, tier, confidence, 7 AS components, len(flags) AS n_flags FROM scored"
-O["import_batches"] = "SELECT batch_id, count(*) AS leads, count(domain) AS with_domain FROM upserted GROUP BY batch_id"
+upsert_ctes("again", "upserted", "merged_after", 3)
+O["import_batches"] = "SELECT batch_id, count(*) AS leads, count(domain) AS with_domain FROM again_upserted GROUP BY batch_id"
+O["incremental_import_stream"] = """SELECT domain IS NOT NULL AS has_domain, count(*) AS leads, count(DISTINCT domain) AS domains
+FROM merged_all GROUP BY 1"""
 
 
 def all_oracles() -> dict[str, str]:

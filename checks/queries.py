@@ -264,7 +264,7 @@ _filter_query("combined_filters", q="s", tiers="B,C,D", min_score_=20, has_email
 
 @query
 def select_for_enrichment(i):
-    status = F.when(F.col("phone").isNull(), "pending").otherwise(F.col("status"))
+    status = F.when(F.col("state").isNull(), "pending").otherwise(F.col("status"))
     leads = worked(i).withColumn("status", status)
     return filters.select_for_enrichment(leads, edits(i).select("lead_key")).select("lead_key", "name", "status")
 
@@ -510,8 +510,7 @@ def _page_anchors(i: Inputs) -> DataFrame:
 @query
 def first_link_per_kind(i):
     p = i.site_pages()
-    links = ht.page_links(F.col("html"), F.col("url"), F.col("domain"))
-    found = p.select("page_id", ht.first_link_per_kind(links).alias("l"))
+    found = p.select("page_id", ht.page_kind_links(F.col("html"), F.col("url"), F.col("domain")).alias("l"))
     rows = F.array(*[F.struct(F.lit(k).alias("kind"), F.col("l")[k].alias("url")) for k in fv.LINK_PATTERNS])
     return found.select("page_id", F.explode(rows).alias("r")).select("page_id", "r.*").where(F.col("url").isNotNull())
 
@@ -839,7 +838,7 @@ def write_snapshot_json(i):
 
 @query
 def store_fetches(i):
-    shift = F.expr("make_interval(0, 0, 0, 0, CAST(page_id % 3 AS INT) - 1)")
+    shift = F.expr("make_interval(0, 0, 0, 0, CAST(page_id % 2 AS INT) * 2 - 1)")
     again = i.page_fetches().withColumn("fetched_at", F.col("fetched_at") + shift).withColumn(
         "html", F.concat("html", F.lit(" again"), F.col("page_id").cast("string")))
     path = shared_dir(i.spark, "fetches")

@@ -89,6 +89,18 @@ RECURRING_PATTERN = (
     r"|subscription|monthly (?:plan|service)|annual (?:service|contract|inspection)s?|recurring|retainer"
     r"|managed services"
 )
+# lower-case words of which each match above holds at least one: a cheap test before the pattern
+PATTERN_STEMS = {
+    "succession": ["retir", "succession", "next chapter", "for sale", "looking for", "torch"],
+    "family_owned": ["family", "generation", "father and son", "mother and daughter"],
+    "hiring": ["hiring", "join our team", "open positions", "career opportunities"],
+    "franchise": ["franchise", "find a location near you", "find your local"],
+    "pe_backed": ["portfolio company", "backed by", "acquired by", "subsidiary of", "part of the"],
+    "testimonials": ["testimonial", "what our customers say", "review", "5-star", "5 star"],
+    "recurring": ["maintenance ", "service ", "membership", "subscription", "monthly ", "annual ", "recurring",
+                  "retainer", "managed services"],
+    "weak_franchise": ["owned and operated"],
+}
 INDUSTRY_PATTERNS = {
     "HVAC": r"hvac|heating|air condition|furnace",
     "Plumbing": r"plumb|drain|water heater",

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leadfit import fixed_values as fv
-from leadfit.functions.text import as_col, blank_to_null, is_free_mail_host, str_array
+from leadfit.functions.text import as_col, blank_to_null, is_free_mail_host, let, str_array
 
 
 def email_local(email: Column) -> Column:
@@ -31,8 +31,7 @@ def classify_email(email: Column | str, has_mx: Column) -> Column:
 
     `has_mx` is TRUE, FALSE or NULL when the host could not be checked.
     """
-    e = tidy_email(email)
-    return (
+    return let(tidy_email(email), lambda e: (
         F.when(e.isNull(), F.lit(None).cast("string"))
         .when(~e.rlike(fv.EMAIL_SYNTAX), "invalid")
         .when(~has_mx, "invalid")
@@ -40,7 +39,7 @@ def classify_email(email: Column | str, has_mx: Column) -> Column:
         .when(is_free_mail_host(email_host(e)), "personal_domain")
         .when(has_mx.isNull(), "unverified")
         .otherwise("valid")
-    )
+    ))
 
 
 def email_rank(email: Column, owner_name: Column, domain: Column) -> Column:
@@ -58,11 +57,13 @@ def email_rank(email: Column, owner_name: Column, domain: Column) -> Column:
 
 def best_email(emails: Column, owner_name: Column, domain: Column) -> Column:
     """Best ranked address; the earlier one wins among equals."""
-    ranked = F.transform(
-        emails,
-        lambda e, i: F.struct(email_rank(e, owner_name, domain).alias("rank"), i.alias("pos"), e.alias("email")),
-    )
-    return F.array_min(ranked)["email"]
+    def ranked(owner: Column) -> Column:
+        return F.transform(
+            emails,
+            lambda e, i: F.struct(email_rank(e, owner, domain).alias("rank"), i.alias("pos"), e.alias("email")),
+        )
+
+    return F.array_min(let(owner_name, ranked))["email"]
 
 
 def extract_emails(html: Column | str, keep: int | None = fv.EMAILS_KEPT) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leadfit import fixed_values as fv
-from leadfit.functions.text import as_col, blank_to_null
+from leadfit.functions.text import as_col, blank_to_null, let
 
 # Attribute text up to the closing bracket, quotes respected. The possessive loop runs
 # iteratively, so a huge tag cannot exhaust the stack.
@@ -35,26 +35,35 @@ def _text_map(values: dict[str, str]) -> Column:
 
 
 def _entity_char(entity: Column) -> Column:
-    body = F.substring(entity, 2, 40)
-    body = F.substring(body, F.lit(1), F.length(body) - 1)
-    hexed = F.regexp_extract(body, "^#[xX](.*)$", 1)
-    code = F.when(hexed != "", F.conv(hexed, 16, 10)).otherwise(F.regexp_extract(body, "^#([0-9]+)$", 1))
-    number = code.try_cast("int")
-    in_range = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
-    char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
-    return F.when(body.startswith("#"), F.coalesce(
-        F.try_element_at(_text_map(_LEGACY), number.cast("string")),
-        F.when(in_range, char),
-        entity,
-    )).otherwise(F.coalesce(F.try_element_at(_text_map(_NAMED), body), entity))
+    """Character of one reference such as &copy; or &#169; (itself when unknown)."""
+    body = F.regexp_replace(entity, "[&;]", "")
+    hexed = F.conv(F.regexp_extract(entity, "^&#[xX](.*);$", 1), 16, 10)
+    code = F.coalesce(blank_to_null(F.regexp_extract(entity, "^&#([0-9]+);$", 1)), hexed).try_cast("int")
+
+    def char(n: Column) -> Column:
+        in_range = n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+        return F.coalesce(
+            F.try_element_at(_text_map(_LEGACY), n.cast("string")),
+            F.when(in_range, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")),
+        )
+
+    return F.coalesce(
+        F.when(entity.startswith("&#"), let(code, char)).otherwise(F.try_element_at(_text_map(_NAMED), body)), entity
+    )
 
 
 def decode_entities(text: Column) -> Column:
     """Replace character references; &amp; goes last so nothing is decoded twice."""
-    safe = F.regexp_replace(text, r"&(?:#0*38|#[xX]0*26);", "&amp;")
-    seen = F.filter(F.array_distinct(F.regexp_extract_all(safe, F.lit(ENTITY), 0)), lambda e: e != "&amp;")
-    decoded = F.aggregate(seen, safe, lambda acc, e: F.replace(acc, e, _entity_char(e)))
-    return F.when(F.contains(text, F.lit("&")), F.replace(decoded, F.lit("&amp;"), F.lit("&"))).otherwise(text)
+    def decoded(t: Column) -> Column:
+        seen = F.filter(F.array_distinct(F.regexp_extract_all(t, F.lit(ENTITY), 0)), lambda e: e != "&amp;")
+        out = F.aggregate(seen, t, lambda acc, e: F.replace(acc, e, _entity_char(e)))
+        return F.replace(out, F.lit("&amp;"), F.lit("&"))
+
+    def when_any(t: Column) -> Column:
+        return F.when(F.contains(t, F.lit("&")), let(
+            F.regexp_replace(t, r"&(?:#0*38|#[xX]0*26);", "&amp;"), decoded)).otherwise(t)
+
+    return let(text, when_any)
 
 
 def collapse_space(text: Column) -> Column:
@@ -83,19 +92,22 @@ def meta_tags(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(META_TAG), 0)
 
 
-def first_meta(html: Column, attr: str, value: str) -> Column:
-    """First meta tag whose attribute equals the value; NULL when none does."""
-    return F.get(F.filter(meta_tags(html), lambda t: attribute(t, attr) == value), F.lit(0))
+def _tag_with(tags: Column, attr: str, value: str) -> Column:
+    """First tag whose attribute equals the value; NULL when none does."""
+    return F.get(F.filter(tags, lambda t: attribute(t, attr) == value), F.lit(0))
 
 
 def has_viewport(html: Column) -> Column:
-    return first_meta(html, "name", "viewport").isNotNull()
+    return _tag_with(meta_tags(html), "name", "viewport").isNotNull()
 
 
 def meta_description(html: Column) -> Column:
     """Content of the description meta, else of og:description; NULL when empty."""
-    tag = F.coalesce(first_meta(html, "name", "description"), first_meta(html, "property", "og:description"))
-    return blank_to_null(decode_entities(attribute(tag, "content")))
+    def content(tags: Column) -> Column:
+        tag = F.coalesce(_tag_with(tags, "name", "description"), _tag_with(tags, "property", "og:description"))
+        return blank_to_null(decode_entities(attribute(tag, "content")))
+
+    return let(meta_tags(html), content)
 
 
 def page_description(meta: Column, text_head: Column) -> Column:
@@ -106,28 +118,20 @@ def page_description(meta: Column, text_head: Column) -> Column:
 
 def anchors(html: Column | str) -> Column:
     """array<struct<href, inner>> of all links with a target, in document order."""
-    src = as_col(html)
-    zipped = F.zip_with(
-        F.regexp_extract_all(src, F.lit(ANCHOR), 1),
-        F.regexp_extract_all(src, F.lit(ANCHOR), 2),
-        lambda a, b: F.struct(
-            F.trim(decode_entities(attribute(a, "href"))).alias("href"),
-            F.regexp_like(a, F.lit(r"(?i)[\s\"']href\s*=")).alias("has_href"),
-            b.alias("inner"),
-        ),
-    )
-    return F.transform(
-        F.filter(zipped, lambda x: x["has_href"]),
-        lambda x: F.struct(x["href"].alias("href"), x["inner"].alias("inner")),
-    )
+    whole = F.regexp_extract_all(as_col(html), F.lit(ANCHOR), 0)
+    parts = F.transform(whole, lambda w: F.struct(
+        F.regexp_extract(w, ANCHOR, 1).alias("attrs"), F.regexp_extract(w, ANCHOR, 2).alias("inner")))
+    targeted = F.filter(parts, lambda x: F.regexp_like(x["attrs"], F.lit(r"(?i)[\s\"']href\s*=")))
+    return F.transform(targeted, lambda x: F.struct(
+        F.trim(decode_entities(attribute(x["attrs"], "href"))).alias("href"), x["inner"].alias("inner")))
 
 
 def social_links(hrefs: Column) -> Column:
     """First link per network, by document order."""
-    def first(net: str) -> Column:
-        return F.get(F.filter(hrefs, lambda h: F.contains(h, F.lit(f"{net}.com"))), F.lit(0)).alias(net)
+    def first(seen: Column, net: str) -> Column:
+        return F.get(F.filter(seen, lambda h: F.contains(h, F.lit(f"{net}.com"))), F.lit(0)).alias(net)
 
-    return F.struct(*[first(net) for net in fv.SOCIAL_NETWORKS])
+    return let(hrefs, lambda seen: F.struct(*[first(seen, net) for net in fv.SOCIAL_NETWORKS]))
 
 
 # ---- urls --------------------------------------------------------------------
@@ -141,19 +145,20 @@ def url_path(url: Column) -> Column:
 
 def _squeeze_dots(path: Column) -> Column:
     """Resolve '.' and '..' segments of an absolute path."""
-    parts = F.split(path, "/")
-    last = F.element_at(parts, -1)
-    stack = F.aggregate(
-        F.slice(parts, F.lit(2), F.size(parts)),
-        F.array().cast("array<string>"),
-        lambda acc, seg: F.when(seg == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
-        .when(seg == ".", acc)
-        .otherwise(F.concat(acc, F.array(seg))),
-    )
-    closed = F.when(last.isin(".", ".."), F.concat(stack, F.array(F.lit("")))).otherwise(stack)
-    return F.when(
-        path.startswith("/") & path.contains("/."), F.concat(F.lit("/"), F.array_join(closed, "/"))
-    ).otherwise(path)
+    def walked(parts: Column) -> Column:
+        stack = F.aggregate(
+            F.slice(parts, F.lit(2), F.size(parts)),
+            F.array().cast("array<string>"),
+            lambda acc, seg: F.when(seg == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
+            .when(seg == ".", acc)
+            .otherwise(F.concat(acc, F.array(seg))),
+        )
+        tail = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(
+            F.array().cast("array<string>"))
+        return F.concat(F.lit("/"), F.array_join(F.concat(stack, tail), "/"))
+
+    return let(path, lambda p: F.when(
+        p.startswith("/") & p.contains("/."), let(F.split(p, "/"), walked)).otherwise(p))
 
 
 def resolve_url(href: Column, base: Column) -> Column:
@@ -161,18 +166,21 @@ def resolve_url(href: Column, base: Column) -> Column:
     origin = F.regexp_extract(base, ORIGIN, 1)
     scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*:)", 1)
     base_path = url_path(base)
-    folder = F.coalesce(blank_to_null(F.regexp_replace(base_path, "[^/]*$", "")), F.lit("/"))
-    bare = F.substring_index(href, "#", 1)
-    path = F.regexp_extract(bare, r"^([^?]*)", 1)
-    query = F.regexp_extract(bare, r"^[^?]*(\?.*)$", 1)
-    return (
-        F.when(bare == "", F.substring_index(base, "#", 1))
-        .when(bare.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), bare)
-        .when(bare.startswith("//"), F.concat(scheme, bare))
-        .when(bare.startswith("/"), F.concat(origin, _squeeze_dots(path), query))
-        .when(bare.startswith("?"), F.concat(origin, base_path, bare))
-        .otherwise(F.concat(origin, _squeeze_dots(F.concat(folder, path)), query))
-    )
+
+    def joined(bare: Column) -> Column:
+        path = F.regexp_extract(bare, r"^([^?]*)", 1)
+        query = F.regexp_extract(bare, r"^[^?]*(\?.*)$", 1)
+        folder = F.coalesce(blank_to_null(F.regexp_replace(base_path, "[^/]*$", "")), F.lit("/"))
+        full_path = F.when(path.startswith("/"), path).otherwise(F.concat(folder, path))
+        return (
+            F.when(bare == "", F.substring_index(base, "#", 1))
+            .when(bare.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), bare)
+            .when(bare.startswith("//"), F.concat(scheme, bare))
+            .when(bare.startswith("?"), F.concat(origin, base_path, bare))
+            .otherwise(F.concat(origin, _squeeze_dots(full_path), query))
+        )
+
+    return let(F.substring_index(href, "#", 1), joined)
 
 
 def site_host(url: Column) -> Column:
@@ -183,9 +191,9 @@ def site_host(url: Column) -> Column:
 
 def url_key(url: Column) -> Column:
     """Join key of a page: host without www, path without closing slash, query."""
-    path = F.regexp_replace(url_path(url), "/+$", "")
     query = F.regexp_extract(url, r"^[^?#]*(\?[^#]*)", 1)
-    return F.concat(site_host(url), F.when(path == "", "/").otherwise(path), query)
+    path = let(F.regexp_replace(url_path(url), "/+$", ""), lambda p: F.when(p == "", "/").otherwise(p))
+    return F.concat(site_host(url), path, query)
 
 
 def page_links(html: Column, base: Column, domain: Column) -> Column:
@@ -194,17 +202,11 @@ def page_links(html: Column, base: Column, domain: Column) -> Column:
         anchors(html),
         lambda a: F.struct(resolve_url(a["href"], base).alias("url"), a["inner"].alias("inner")),
     )
-    inside = F.filter(
-        resolved,
-        lambda a: (site_host(a["url"]) == domain) & ~url_path(a["url"]).isin("", "/"),
-    )
-    return F.transform(
-        inside,
-        lambda a: F.struct(
-            a["url"].alias("url"),
-            F.concat(url_path(a["url"]), F.lit(" "), html_to_text(a["inner"])).alias("haystack"),
-        ),
-    )
+    placed = F.transform(resolved, lambda a: F.struct(
+        a["url"].alias("url"), url_path(a["url"]).alias("path"), a["inner"].alias("inner")))
+    inside = F.filter(placed, lambda a: (site_host(a["url"]) == domain) & ~a["path"].isin("", "/"))
+    return F.transform(inside, lambda a: F.struct(
+        a["url"].alias("url"), F.concat(a["path"], F.lit(" "), html_to_text(a["inner"])).alias("haystack")))
 
 
 def is_page_kind(haystack: Column, kind: str) -> Column:
@@ -219,6 +221,10 @@ def first_link_per_kind(links: Column) -> Column:
     return F.struct(*[first(kind) for kind in fv.LINK_PATTERNS])
 
 
+def page_kind_links(html: Column, base: Column, domain: Column) -> Column:
+    return let(page_links(html, base, domain), first_link_per_kind)
+
+
 # ---- fetch results -------------------------------------------------------------
 
 def is_blocked(status: Column, html: Column) -> Column:

@@ -8,15 +8,36 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leadfit import fixed_values as fv
-from leadfit.functions.text import blank_to_null, snippet, str_array
+from leadfit.functions.text import blank_to_null, let, snippet, str_array
 
 ANY_CASE = "(?i)"
 
 
 def first_brand(text: Column, brands: list[str] = fv.FRANCHISE_BRANDS) -> Column:
     """First franchise brand, in list order, that the text contains; NULL when none."""
-    hay = F.lower(text)
-    return F.get(F.filter(str_array(brands), lambda b: F.contains(hay, b)), F.lit(0))
+    return let(F.lower(text), lambda hay: F.get(
+        F.filter(str_array(brands), lambda b: F.contains(hay, b)), F.lit(0)))
+
+
+def contains_any(lowered: Column, words: list[str]) -> Column:
+    """Plain substring tests: far cheaper than a pattern, and most pages fail all of them."""
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(lowered, F.lit(w))
+    return out
+
+
+def plain_words(pattern: str) -> list[str]:
+    """Alternatives of a pattern that has no operators but | and escapes."""
+    words = [w.replace("\\", "") for w in pattern.split("|")]
+    if "|".join(w.replace(".", r"\.").replace("(", r"\(") for w in words) != pattern:
+        raise ValueError(f"not a list of plain words: {pattern}")
+    return words
+
+
+def keyword_match(text: Column, lowered: Column, key: str, pattern: str) -> Column:
+    """First match of a keyword pattern, tried only where one of its stems occurs."""
+    return F.when(contains_any(lowered, fv.PATTERN_STEMS[key]), literal_match(text, pattern))
 
 
 def literal_match(text: Column, pattern: str) -> Column:
@@ -24,31 +45,35 @@ def literal_match(text: Column, pattern: str) -> Column:
     return F.regexp_substr(text, F.lit(ANY_CASE + pattern))
 
 
-def literal_snippet(text: Column, found: Column) -> Column:
-    """Quote around a match of `literal_match`.
+def spot(start: Column, length: Column) -> Column:
+    """struct<b, e>: a half-open range of characters."""
+    return let(start, lambda b: F.struct(b.alias("b"), (b + length).alias("e")))
+
+
+def literal_spot(text: Column, found: Column) -> Column:
+    """Place of a match of `literal_match`.
 
     Without boundary assertions the first match is also the first place where its own words
     occur, so a plain search gives its position.
     """
-    start = F.instr(text, found) - 1
-    return F.when(found.isNotNull(), snippet(text, start, start + F.length(found)))
-
+    return F.when(found.isNotNull(), spot(F.instr(text, found) - 1, F.length(found)))
 
-def match_start(text: Column, pattern: str, index: Column) -> Column:
-    """0-based offset of the index-th match: the pieces before it plus the matches before it."""
-    pieces = F.split(text, pattern)
-    matches = F.regexp_extract_all(text, F.lit(pattern), 0)
 
+def match_spot(text: Column, pattern: str, index: Column) -> Column:
+    """Place of the index-th match: after the pieces and the matches before it."""
     def total(parts: Column, count: Column) -> Column:
         return F.aggregate(F.slice(parts, F.lit(1), count), F.lit(0), lambda acc, p: acc + F.length(p))
 
-    return total(pieces, index + 1) + total(matches, index)
+    def place(matches: Column) -> Column:
+        before = total(F.split(text, pattern), index + 1) + total(matches, index)
+        return spot(before, F.length(F.get(matches, index)))
 
+    return let(F.regexp_extract_all(text, F.lit(pattern), 0), place)
 
-def match_snippet(text: Column, pattern: str, index: Column) -> Column:
-    start = match_start(text, pattern, index)
-    found = F.get(F.regexp_extract_all(text, F.lit(pattern), 0), index)
-    return snippet(text, start, start + F.length(found))
+
+def quotes(text: Column, spots: list[Column]) -> Column:
+    """array<string>: the quote around each spot, NULL for NULL spots."""
+    return F.transform(F.array(*spots), lambda p: F.when(p.isNotNull(), snippet(text, p["b"], p["e"])))
 
 
 # ---- founding year -------------------------------------------------------------
@@ -74,10 +99,10 @@ def year_candidates(text: Column, today: date) -> Column:
     )
 
 
-def founding_evidence(text: Column, best: Column) -> Column:
+def founding_spot(text: Column, best: Column) -> Column:
     return (
-        F.when(best["family"] == 0, match_snippet(text, ANY_CASE + fv.FOUNDED_PATTERN, best["pos"]))
-        .when(best["family"] == 1, match_snippet(text, ANY_CASE + fv.YEARS_PATTERN, best["pos"]))
+        F.when(best["family"] == 0, match_spot(text, ANY_CASE + fv.FOUNDED_PATTERN, best["pos"]))
+        .when(best["family"] == 1, match_spot(text, ANY_CASE + fv.YEARS_PATTERN, best["pos"]))
     )
 
 
@@ -109,10 +134,10 @@ def owner_hit(text: Column) -> Column:
     )
 
 
-def owner_evidence(text: Column, hit: Column) -> Column:
+def owner_spot(text: Column, hit: Column) -> Column:
     return (
-        F.when(hit["family"] == 0, match_snippet(text, fv.OWNER_NAME_FIRST, hit["pos"]))
-        .when(hit["family"] == 1, match_snippet(text, fv.OWNER_ROLE_FIRST, hit["pos"]))
+        F.when(hit["family"] == 0, match_spot(text, fv.OWNER_NAME_FIRST, hit["pos"]))
+        .when(hit["family"] == 1, match_spot(text, fv.OWNER_ROLE_FIRST, hit["pos"]))
     )
 
 
@@ -120,9 +145,8 @@ def owner_evidence(text: Column, hit: Column) -> Column:
 
 def weak_franchise_match(text: Column) -> Column:
     """'Locally owned and operated', only where the same page also speaks of franchising."""
-    weak = literal_match(text, fv.FRANCHISE_WEAK_PHRASES)
     backed = text.rlike(ANY_CASE + fv.FRANCHISE_WORDS) | first_brand(text).isNotNull()
-    return F.when(weak.isNotNull() & backed, weak)
+    return let(literal_match(text, fv.FRANCHISE_WEAK_PHRASES), lambda weak: F.when(weak.isNotNull() & backed, weak))
 
 
 def recurring_terms(text: Column, keep: int | None = fv.TERMS_KEPT) -> Column:
@@ -138,15 +162,22 @@ def headcount(text: Column) -> Column:
 
 def industry_hits(text: Column) -> Column:
     """Number of hits per industry, in the order of the industry list."""
-    lowered = F.lower(text)
-    return F.array(*[F.regexp_count(lowered, F.lit(p)) for p in fv.INDUSTRY_PATTERNS.values()])
+    def counts(lowered: Column) -> Column:
+        return F.array(*[
+            F.when(contains_any(lowered, plain_words(p)), F.regexp_count(lowered, F.lit(p))).otherwise(F.lit(0))
+            for p in fv.INDUSTRY_PATTERNS.values()
+        ])
+
+    return let(F.lower(text), counts)
 
 
 def industry_from_hits(hits: Column) -> Column:
     """Industry with most hits, the first listed on ties; NULL below two hits."""
-    top = F.array_max(hits)
-    at = F.array_position(hits, top).cast("int")
-    return F.when(top >= fv.INDUSTRY_MIN_HITS, F.get(str_array(fv.INDUSTRY_PATTERNS), at - 1))
+    def best(h: Column) -> Column:
+        at = F.array_position(h, F.array_max(h)).cast("int")
+        return F.when(F.array_max(h) >= fv.INDUSTRY_MIN_HITS, F.get(str_array(fv.INDUSTRY_PATTERNS), at - 1))
+
+    return let(hits, best)
 
 
 # ---- technology ----------------------------------------------------------------------

@@ -153,42 +153,44 @@ def page_findings(pages: DataFrame, today: date) -> DataFrame:
     keep = [c for c in pages.columns if c != "html"]
     home, html, text = F.col("is_home"), F.col("html"), F.col("text")
     read = pages.select(*keep, "html", ht.html_to_text("html").alias("text"), F.lower("html").alias("lowered"))
-
-    marks = [sg.literal_match(text, p).alias(f"_{k}") for k, p in fv.KEYWORD_PATTERNS.items()]
-    found = read.select(
-        *keep, "html", "text", "lowered", *marks,
-        sg.weak_franchise_match(text).alias("_weak_franchise"),
+    low = F.col("_low")
+
+    # matches
+    plain = {**fv.KEYWORD_PATTERNS, "recurring": fv.RECURRING_PATTERN}
+    matched = read.withColumn("_low", F.lower("text")).select(
+        "*", *[sg.keyword_match(text, low, k, p).alias(f"_{k}") for k, p in plain.items()],
+        F.when(sg.contains_any(low, fv.PATTERN_STEMS["weak_franchise"]), sg.weak_franchise_match(text))
+        .alias("_weak_franchise"),
         F.array_min(sg.year_candidates(text, today)).alias("_founded"),
         sg.owner_hit(text).alias("_owner"),
-        sg.literal_match(text, fv.RECURRING_PATTERN).alias("_recurring"),
         F.when(home, ht.html_title("html")).alias("title"),
-        F.when(home, F.transform(ht.anchors("html"), lambda a: a["href"])).alias("_hrefs"),
     )
+    # quotes around them, all by one expression
+    marks = [*plain, "weak_franchise"]
+    founded, owner = F.col("_founded"), F.col("_owner")
+    spots = [sg.literal_spot(text, F.col(f"_{k}")) for k in marks]
+    spots += [sg.founding_spot(text, founded), sg.owner_spot(text, owner)]
+    quoted = matched.withColumn("_quotes", sg.quotes(text, spots))
 
-    def quote(mark: str) -> Column:
-        return sg.literal_snippet(text, F.col(mark))
+    def quote(i: int) -> Column:
+        return F.get("_quotes", F.lit(i))
 
-    founded, owner = F.col("_founded"), F.col("_owner")
-    tech = [F.col("lowered").rlike(p).alias(name) for name, p in fv.TECH_PATTERNS.items()]
-    return found.select(
+    tech = [sg.contains_any(F.col("lowered"), sg.plain_words(p)).alias(n) for n, p in fv.TECH_PATTERNS.items()]
+    return quoted.select(
         *keep,
         F.when(home, F.substring(text, 1, fv.DESCRIPTION_TEXT_CHARS)).alias("text_head"),
         "title",
         sg.first_brand(F.col("title")).alias("title_brand"),
         F.when(home, ht.meta_description(html)).alias("meta_description"),
-        F.when(home, ht.social_links(F.col("_hrefs"))).alias("socials"),
+        F.when(home, ht.social_links(F.transform(ht.anchors(html), lambda a: a["href"]))).alias("socials"),
         F.when(home, ht.has_viewport(html)).alias("mobile_friendly"),
-        *[quote(f"_{k}").alias(f"{k}_quote") for k in EVIDENCE_KEYWORDS],
-        quote("_weak_franchise").alias("weak_franchise_quote"),
+        *[quote(i).alias(f"{k}_quote") for i, k in enumerate(marks)],
         F.when(founded.isNotNull(), F.struct(
-            founded["year"].alias("year"), sg.founding_evidence(text, founded).alias("quote")
-        )).alias("founded"),
+            founded["year"].alias("year"), quote(len(marks)).alias("quote"))).alias("founded"),
         sg.copyright_year(html, today).alias("copyright_year"),
         F.when(owner.isNotNull(), F.struct(
-            owner["name"].alias("name"), sg.owner_evidence(text, owner).alias("quote")
-        )).alias("owner"),
+            owner["name"].alias("name"), quote(len(marks) + 1).alias("quote"))).alias("owner"),
         F.when(F.col("_recurring").isNotNull(), sg.recurring_terms(text)).alias("recurring_terms"),
-        quote("_recurring").alias("recurring_quote"),
         sg.headcount(text).alias("employees_hint"),
         ct.extract_emails(html).alias("emails"),
         ct.extract_phones(text).alias("phones"),
@@ -215,7 +217,7 @@ def fetch_findings(fetches: DataFrame, today: date) -> DataFrame:
     ).withColumn("is_home", F.col("url_key") == F.concat(F.col("host"), F.lit("/")))
     linked = placed.withColumn("links", F.when(
         F.col("is_home") & F.col("ok"),
-        ht.first_link_per_kind(ht.page_links(F.col("html"), F.col("final_url"), F.col("host"))),
+        ht.page_kind_links(F.col("html"), F.col("final_url"), F.col("host")),
     ))
     return page_findings(linked, today)
 

@@ -19,18 +19,13 @@ def _score(df: DataFrame, icp: sc.IcpColumns, today: date) -> DataFrame:
     sig = lambda name: F.col("signals")[name]
     keep = [c for c in df.columns if c not in SCORE_COLUMNS]
 
-    def triple(key: str):
-        part = sc.PARTS[key](lead, sig, icp, today)
-        known = part.known
-        return F.struct(part.ratio.alias("ratio"), part.reason.alias("reason"), known.alias("known")).alias(f"_{key}")
-
     parts = {k: F.col(f"_{k}") for k in sc.COMPONENTS}
-    staged = df.select(*keep, *[triple(k) for k in sc.COMPONENTS])
+    staged = df.select(*keep, *[sc.PARTS[k](lead, sig, icp, today).alias(f"_{k}") for k in sc.COMPONENTS])
     scored = staged.select(
         *keep,
         sc.final_score(sc.raw_score(parts, icp), sig).alias("score"),
         sc.confidence(parts).alias("confidence"),
-        F.array(*[sc.component(k, parts[k], icp) for k in sc.COMPONENTS]).alias("breakdown"),
+        sc.breakdown(parts, icp).alias("breakdown"),
         sc.flags(lead, sig).alias("flags"),
     )
     return scored.withColumn("tier", sc.tier(F.col("score")))
