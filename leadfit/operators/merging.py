@@ -11,6 +11,7 @@ from leadfit.functions.text import falsy, normalize_phone
 from leadfit.operators.scoring import score_leads
 from leadfit.operators.skew import balanced_left_join
 from leadfit.schemas import LEAD_FIELDS, LEAD_TABLE, SIGNALS, conform
+from leadfit.sources.tables import materialize
 
 
 def first_filled(field: str, order: Column) -> Column:
@@ -81,7 +82,9 @@ def match_existing(incoming: DataFrame, stored: DataFrame, hot_rows: int = 1_000
     todo = city_cols(step1).withColumn("name_key_", F.col("name_key")).withColumn(
         "name_key", F.when(F.col("m1").isNull(), F.col("name_key"))
     )
-    step2 = balanced_left_join(todo, by_name, ["name_key", "_city", "_no_city"], ["key"], hot_rows=hot_rows)
+    step2 = balanced_left_join(
+        todo, by_name, ["name_key", "_city", "_no_city"], ["key"], hot_rows=hot_rows, hot_source=city_cols(incoming)
+    )
     return (
         step2.withColumn("matched_key", F.coalesce("m1", "m2"))
         .withColumn("name_key", F.col("name_key_"))
@@ -124,11 +127,13 @@ def upsert_leads(
 ) -> DataFrame:
     """The lead table after a batch: matched leads filled up (not rescored), the others inserted.
 
-    `incoming` comes from `dedupe_merge`.
+    `incoming` comes from `dedupe_merge`. It and its matches are written once: both the filled and
+    the inserted leads are taken from them, and the batch must not be merged several times.
     """
     if stored is None:
         return new_leads(incoming, batch_id, batch_no, icp, today)
-    matched = match_existing(incoming, stored, hot_rows)
+    merged = materialize(incoming, "batch")
+    matched = materialize(match_existing(merged, stored, hot_rows), "batch-matched")
     inserts = new_leads(matched.where(F.col("matched_key").isNull()), batch_id, batch_no, icp, today)
     return union_rows(fill_stored(stored, matched), inserts)
 

@@ -18,6 +18,7 @@ def balanced_left_join(
     spread: list[str],
     hot_rows: int | None = 1_000_000,
     salts: int = 64,
+    hot_source: DataFrame | None = None,
 ) -> DataFrame:
     """`left` LEFT JOIN `right` on equal-named `keys`.
 
@@ -27,6 +28,7 @@ def balanced_left_join(
     largest, and keys beyond the cut are simply joined unsplit, so the result never depends on it.
     `spread` names columns that tell left rows apart; the split is a hash of them and therefore
     the same when a task is run again. `hot_rows=None` is for keys known to be unique on the left.
+    `hot_source` is a cheaper table to count keys in, with at least the rows of `left`.
     """
     any_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     row_hash = F.xxhash64(*spread)
@@ -36,7 +38,7 @@ def balanced_left_join(
         return salted.join(other, [*keys, "_salt"], "left").drop("_salt")
 
     hot = (
-        left.where(~any_null).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        (hot_source or left).where(~any_null).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") >= hot_rows)
         .orderBy(F.desc("_n")).limit(HOT_KEYS_LISTED)
         .select(*keys, F.lit(True).alias("_hot"))

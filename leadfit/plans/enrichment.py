@@ -15,20 +15,19 @@ from leadfit.operators.scoring import score_leads
 from leadfit.operators.site_signals import signals_struct, site_rollup, site_signals, with_name_brand
 from leadfit.operators.skew import balanced_left_join
 from leadfit.schemas import LEAD_TABLE, conform
-from leadfit.sources.tables import materialize
+from leadfit.sources.tables import materialize, spread
 
 
-def signals_of_sites(fetches: DataFrame, today: date, findings_table: bool = True) -> DataFrame:
+def signals_of_sites(fetches: DataFrame, today: date) -> DataFrame:
     """(domain, signals) of every site among the fetches.
 
     The findings are written once: home pages and linked pages are both taken from them, and the
-    HTML must not be read twice.
+    HTML must not be read twice. The signals are written for the same reason: enrichment uses them
+    for the leads and to find e-mail hosts that many leads share.
     """
-    findings = fetch_findings(clean_fetches(fetches), today)
-    if findings_table:
-        findings = materialize(findings, "page-findings")
+    findings = materialize(fetch_findings(clean_fetches(spread(fetches, "url")), today), "page-findings")
     pages, status = site_pages(findings)
-    return site_signals(site_rollup(pages, today), status, today)
+    return materialize(site_signals(site_rollup(pages, today), status, today), "site-signals")
 
 
 def unmatched_signals():
