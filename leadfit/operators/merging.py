@@ -35,21 +35,18 @@ def dedupe_merge(rows: DataFrame) -> DataFrame:
 
 def import_report(canonical: DataFrame, normalized: DataFrame) -> DataFrame:
     """One row of import counts."""
-    read = canonical.agg(
-        F.count(F.lit(1)).alias("rows_read"), F.count_if(F.col("name").isNull()).alias("skipped_missing_name")
-    )
+    def row(**known):
+        names = ["rows_read", "unique_in_file", "duplicates_in_file", "skipped_missing_name", "missing_website"]
+        return [F.coalesce(known[n], F.lit(0)).alias(n) if n in known else F.lit(0).cast("bigint").alias(n) for n in names]
+
+    read = canonical.agg(*row(
+        rows_read=F.count(F.lit(1)), skipped_missing_name=F.count_if(F.col("name").isNull())))
     per_key = normalized.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("domain").isNull()).alias("no_site")
-    )
-    named = per_key.agg(
-        F.count(F.lit(1)).alias("unique_in_file"),
-        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates_in_file"),
-        F.coalesce(F.sum("no_site"), F.lit(0)).alias("missing_website"),
-    )
-    # two one-row frames side by side
-    return read.crossJoin(F.broadcast(named)).select(
-        "rows_read", "unique_in_file", "duplicates_in_file", "skipped_missing_name", "missing_website"
-    )
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("domain").isNull()).alias("no_site"))
+    named = per_key.agg(*row(
+        unique_in_file=F.count(F.lit(1)), duplicates_in_file=F.sum(F.col("n") - 1), missing_website=F.sum("no_site")))
+    both = read.unionByName(named)
+    return both.agg(*[F.sum(c).alias(c) for c in both.columns])
 
 
 def seq_key(batch_no: int, order: Column) -> Column:

@@ -36,16 +36,18 @@ def score_leads(leads: DataFrame, icp: dict | None, today: date) -> DataFrame:
     return _score(leads, sc.IcpColumns.fixed(icp), today)
 
 
-def cross_params(leads: DataFrame, params: DataFrame) -> DataFrame:
-    """Every lead with every buy box. The table of buy boxes is written by hand: its size is checked."""
-    n = params.limit(MAX_PARAM_SETS + 1).count()
-    if n > MAX_PARAM_SETS:
-        raise ValueError(f"More than {MAX_PARAM_SETS} parameter sets; score them in several runs")
-    packed = params.select("icp_id", F.struct(*[c for c in params.columns if c != "icp_id"]).alias("icp"))
-    return leads.crossJoin(F.broadcast(packed))
+MAX_BROADCAST_PARAMS = 10_000
 
 
-MAX_PARAM_SETS = 10_000
+def cross_params(leads: DataFrame, params: DataFrame) -> DataFrame:
+    """Every lead with every buy box, which is what a sweep asks for.
+
+    A counted, small table of buy boxes is broadcast, so leads are not moved; a larger one is left
+    to the planner, which splits both sides.
+    """
+    packed = params.select("icp_id", F.struct(*[c for c in params.columns if c != "icp_id"]).alias("icp"))
+    few = params.limit(MAX_BROADCAST_PARAMS + 1).count() <= MAX_BROADCAST_PARAMS
+    return leads.crossJoin(F.broadcast(packed) if few else packed)
 
 
 def rescore_all(leads: DataFrame, params: DataFrame, today: date) -> DataFrame:

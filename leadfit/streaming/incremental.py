@@ -15,16 +15,20 @@ from leadfit.sources.tables import VersionedTable
 
 def incremental_import(
     spark: SparkSession, folder: str, headers: list[str], table: VersionedTable, checkpoint: str, today: date,
-    sep: str = ",",
+    sep: str = ",", files_per_batch: int | None = None,
 ) -> StreamingQuery:
     """Every new CSV file in `folder` goes through import and upsert; ends when none is left.
 
     The upsert makes a file that is delivered twice add nothing, whatever the checkpoint knows.
+    Files that wait together are merged as one batch unless `files_per_batch` says otherwise; each
+    batch writes a new version of the table, so few large batches are cheaper.
     """
     schema = StructType([StructField(h, StringType()) for h in headers])
+    reader = spark.readStream.schema(schema).option("header", True).option("multiLine", True)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     files = (
-        spark.readStream.schema(schema).option("header", True).option("multiLine", True)
-        .option("sep", sep).option("quote", '"').option("escape", '"').csv(folder)
+        reader.option("sep", sep).option("quote", '"').option("escape", '"').csv(folder)
         .select("*", F.col("_metadata.file_path").alias("_file"))
     )
 
