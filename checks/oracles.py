@@ -58,7 +58,7 @@ _TAGS = ("coalesce(succession, FALSE) AS succession, coalesce(family_owned, FALS
 O["lead_view"] = f"""SELECT lead_key, seq, name, domain, {BEST_IND} AS industry, {BEST_EMP} AS employees, {BEST_OWN} AS owner_name,
 email, email_status, phone, status, score, tier, confidence, stage, years_in_business, {_TAGS} FROM worked"""
 O["lead_detail"] = f"""SELECT lead_key, name, {BEST_IND} AS industry, score, notes, crawl_error AS error,
-'2026-09-16T12:00:00Z' AS enriched_at, reachable, blocked, franchise, founded_year, copyright_year, digital_maturity,
+'2026-09-16T12:00:00+00:00' AS enriched_at, reachable, blocked, franchise, founded_year, copyright_year, digital_maturity,
 employees_hint, pages_crawled, emails, phones, recurring_terms, description, cms, https, mobile_friendly, {_TECH},
 industry_guess FROM worked"""
 _lab = lambda c, d, i: "CASE " + c + " " + " ".join(f"WHEN {q(k)} THEN {q(v[i])}" for k, v in d.items())
@@ -110,6 +110,11 @@ for _k, _c in _F.items():
     O[_k] = f"SELECT {_KEPT} FROM worked WHERE {_c}"
 O["select_for_enrichment"] = """SELECT lead_key, name, 'pending' AS status FROM worked WHERE state IS NULL AND domain IN (
 SELECT 's' || CAST(lead_no AS STRING) || '.test' FROM lead_edits)"""
+O["enrich_selected"] = """SELECT lead_key, CASE WHEN touched IS NULL THEN 'pending' ELSE status END AS status,
+CASE WHEN touched IS NULL THEN first_score ELSE score END AS score FROM (
+  SELECT f.lead_key, f.phone, f.score AS first_score, s.score, s.status, e.domain AS touched FROM fresh_scored f
+  JOIN scored s ON f.lead_key = s.lead_key
+  LEFT JOIN (SELECT DISTINCT 's' || CAST(lead_no AS STRING) || '.test' AS domain FROM lead_edits) e ON f.domain = e.domain)"""
 O["named_rows_only"] = f"SELECT ord, {clean('name')} AS name FROM leads_raw WHERE {clean('name')} IS NOT NULL"
 O["fetch_ok"] = "SELECT url, status FROM fetch_clean WHERE ok"
 O["fresh_fetch"] = f"SELECT url, page_id FROM fetch_raw WHERE fetched_at >= TIMESTAMP '{dv.AS_OF}' - INTERVAL 72 HOUR"

@@ -269,6 +269,14 @@ def select_for_enrichment(i):
     return filters.select_for_enrichment(leads, edits(i).select("lead_key")).select("lead_key", "name", "status")
 
 
+@query
+def enrich_selected(i):
+    """Leads that were edited are enriched, the others stay as imported."""
+    out = enrichment.enrich_selected(
+        imported(i), signals_table(i), i.mx_hosts(), DAY, ids=edits(i).select("lead_key"))
+    return out.select("lead_key", "status", "score")
+
+
 @query
 def named_rows_only(i):
     return lead_files.named_rows_only(lead_files.canonical_rows(raw(i))).select("ord", "name")

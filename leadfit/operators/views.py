@@ -51,10 +51,18 @@ def lead_view(leads: DataFrame) -> DataFrame:
     return leads.select(*_view_columns())
 
 
+def iso_time(c: str) -> Column:
+    """ISO 8601 text with offset; fractions of a second only where there are any."""
+    fraction = F.date_format(c, ".SSSSSS")
+    return F.concat(
+        F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.when(fraction == ".000000", "").otherwise(fraction),
+        F.date_format(c, "xxx"),
+    )
+
+
 def lead_detail(leads: DataFrame) -> DataFrame:
     """List row plus signals, notes, brief, error and the enrichment time as ISO text."""
-    iso = F.date_format("enriched_at", "yyyy-MM-dd'T'HH:mm:ssXXX")
-    return leads.select(*_view_columns(), "signals", "notes", "brief", "error", iso.alias("enriched_at"))
+    return leads.select(*_view_columns(), "signals", "notes", "brief", "error", iso_time("enriched_at").alias("enriched_at"))
 
 
 def _label(key: Column, labels: dict[str, str], otherwise: Column | None = None) -> Column:

@@ -59,3 +59,22 @@ def enrich_leads(
         "enriched_at": F.lit(enriched_at).cast("timestamp"),
     })
     return conform(score_leads(done, icp, today), LEAD_TABLE)
+
+
+def enrich_selected(
+    leads: DataFrame, site: DataFrame, mx_hosts: DataFrame, today: date, icp: dict | None = None,
+    ids: DataFrame | None = None, force: bool = False, enriched_at=None, hot_rows: int = 1_000_000,
+) -> DataFrame:
+    """The whole lead table after enriching the listed leads (all when no list is given).
+
+    Unless forced, leads that were enriched before are left alone.
+    """
+    if ids is None:
+        marked = leads.withColumn("_listed", F.lit(True))
+    else:
+        listed = ids.select("lead_key").distinct().withColumn("_listed", F.lit(True))
+        marked = leads.join(listed, "lead_key", "left").withColumn("_listed", F.coalesce("_listed", F.lit(False)))
+    due = F.col("_listed") if force else F.col("_listed") & (F.col("status") == "pending")
+    done = enrich_leads(
+        marked.where(due).select(*leads.columns), site, mx_hosts, today, icp, enriched_at, hot_rows)
+    return done.unionByName(conform(marked.where(~due), LEAD_TABLE))
