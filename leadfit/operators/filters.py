@@ -19,7 +19,8 @@ def search_text(q: str, literal: bool = False) -> Column:
     """Name, domain or city contains `q`, case ignored. % and _ are wildcards unless `literal`."""
     cols = [F.lower(c) for c in ("name", "domain", "city")]
     needle = q.lower()
-    return _any([c.contains(needle) if literal else c.like(f"%{needle}%") for c in cols])
+    pattern = "%" + needle.replace("\\", "\\\\") + "%"  # a backslash stands for itself
+    return _any([c.contains(needle) if literal else c.like(pattern) for c in cols])
 
 
 def tier_in(tiers: str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from leadfit.operators import facets, filters, merging, scoring, views
 from leadfit.operators.pages import robots_filter
 from leadfit.operators.skew import balanced_left_join
-from leadfit.plans.enrichment import enrich_leads, signals_of_sites
+from leadfit.plans.enrichment import enrich_leads, enrich_selected, signals_of_sites
 from leadfit.plans.importing import import_csv, merged_leads
 from leadfit.schemas import SIGNALS
 from leadfit.sources import lead_files
@@ -204,10 +204,38 @@ def test_sorting_keeps_import_order_on_ties(enriched):
 def test_filters(enriched):
     f = lambda **k: {r["name"] for r in filters.filter_leads(enriched, **k).collect()}
     assert f(q="OAK") == {"Oak Heating LLC"} and f(q="o_k") == {"Oak Heating LLC"} and f(q="o_k", literal=True) == set()
+    assert f(q="a\\b") == set()
     assert f(tiers="a,") == {"Oak Heating LLC"} and len(f(min_score_=0)) == 5
     assert f(has_email=True) == {"Oak Heating LLC", "Fir Repair"} and f(succession=True) == {"Oak Heating LLC"}
 
 
+def test_result_does_not_depend_on_partitioning(spark):
+    rows = [(i, f"Co {i % 7}" if i % 3 else "Hot", f"s{i % 5}.test" if i % 4 == 0 else None, str(i) if i % 2 else None)
+            for i in range(400)]
+    raw = spark.createDataFrame(rows, "ord long, name string, website string, employees string")
+    want = None
+    for parts in (1, 3, 16):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        first = merging.upsert_leads(None, merged_leads(raw.where("ord < 200").repartition(parts)), "b1", 1, DAY)
+        out = merging.upsert_leads(
+            materialize(first, "t"), merged_leads(raw.where("ord >= 200").repartition(parts)), "b2", 2, DAY, hot_rows=1)
+        got = sorted(map(str, out.select("lead_key", "seq", *merging.LEAD_FIELDS).collect()))
+        want = want or got
+        assert got == want
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_only_due_leads_are_enriched(spark, imported, enriched):
+    leads, _ = imported
+    site = enriched.where("domain IS NOT NULL").select("domain", "signals")
+    mx = spark.createDataFrame([("oak.test", True)], "host string, has_mx boolean")
+    keys = leads.where("name = 'Oak Heating LLC'").select("lead_key")
+    got = by_name(enrich_selected(leads, site, mx, DAY, ids=keys.union(keys)))
+    assert {n for n, r in got.items() if r["status"] != "pending"} == {"Oak Heating LLC"} and len(got) == 5
+    again = by_name(enrich_selected(enriched, site, mx, DAY))
+    assert {n: r["score"] for n, r in again.items()} == {r["name"]: r["score"] for r in enriched.collect()}
+
+
 def test_latest_edit_per_field_wins(spark, enriched):
     key = enriched.where("name = 'Fir Repair'").first()["lead_key"]
     edits = spark.createDataFrame(
