@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from checks import derived as dv
 from checks.ctes import (
-    ANCHOR, CTES, FIELDS, KEYS, RAW_FIELDS, YEAR, all_matches_sql, anchors_sql, attr, blocked, classify, clean,
-    distinct_in_order, domain, email_list, employees, entities, findings, first_brand, first_meta, host_of,
-    html_text, html_title, in_list, kinds_sql, lst, name_key, parts_sql, path_of, phone, phone_list, q, rank_email,
-    resolve, score_sql, site_host, upsert_ctes, url_key, with_ctes,
+    CTES, FIELDS, KEYS, RAW_FIELDS, anchors_sql, attr, blocked, classify, clean, distinct_in_order, domain,
+    email_list, employees, entities, findings, first_brand, first_meta, host_of, html_text, html_title, in_list,
+    kinds_sql, lst, name_key, parts_sql, path_of, phone, phone_list, q, rank_email, score_sql, site_host,
+    upsert_ctes, with_ctes,
 )
 from leadfit import fixed_values as fv
 from leadfit.operators import briefs as bf

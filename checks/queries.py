@@ -110,10 +110,6 @@ def worked(i: Inputs) -> DataFrame:
     return views.apply_edits(enriched(i), edits(i))
 
 
-def findings_of_pages(i: Inputs) -> DataFrame:
-    return all_findings(i)
-
-
 def quoted(df: DataFrame, **quotes: str) -> DataFrame:
     """Long form: domain, kind, key, quote of the pages that have one."""
     rows = F.array(*[F.struct(F.lit(k).alias("key"), F.col(c).alias("quote")) for k, c in quotes.items()])
