@@ -45,16 +45,22 @@ def id_remainder(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
 
 
-def sampled_labels(labels: DataFrame, label: str, per_class: int, parts: int, held_out: int) -> DataFrame:
-    """At most per_class rows (doc_id, label) of each class outside the held-out fold, first by a hash of the id.
+def sampled_labels(labels: DataFrame, label: str, per_class: int, parts: int = 0, held_out: int = 0) -> tuple[DataFrame, dict[int, int]]:
+    """At most per_class rows (doc_id, label) of each class, first by a hash of the id, and the size of each whole class.
 
-    Rows without id or label are left out; of several labels of one id the highest counts.
+    With parts, ids whose fold is held_out are left out. Rows without id or label are left out too; of several labels of
+    one id the highest counts.
     """
-    rows = (
-        labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
-        .where(id_remainder(F.col("doc_id"), parts) != held_out)
-        .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
-    )
+    rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
+    if parts:
+        rows = rows.where(id_remainder(F.col("doc_id").cast("long"), parts) != held_out)
+    rows = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
+    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     one, two = (rows.where(F.col("label") == v).orderBy(*order).limit(per_class) for v in (0, 1))
-    return one.unionByName(two)
+    return one.unionByName(two), sizes
+
+
+def sampled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """(doc_id, text, label) of the sampled ids; the sample is bounded by its limit, so it goes to every scan task."""
+    return texts_of(docs).join(F.broadcast(sample), "doc_id")

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leadfit.llm import bpe, packing
-from leadfit.llm.common import table
+from leadfit.llm import bpe, packing, quality, rules, toxicity
+from leadfit.llm.common import id_remainder, table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -17,11 +18,36 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def _in_fold(parts: int, fold: int):
+    return F.coalesce(id_remainder(F.col("doc_id").cast("long"), parts) == fold, F.lit(False)).alias("held_out")
+
+
+def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = quality.fit_quality(docs, table(spark, folder, "labels"), parts=4, held_out=2)
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _in_fold(4, 2), quality.quality_score(spark, model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op3_bpe_encoding(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_documents(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER), with_ids=False)
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit_toxicity(docs, table(spark, folder, "labels"), parts=5, held_out=0)
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _in_fold(5, 0), toxicity.toxicity_score(spark, model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return rules.judge_documents(docs, rules.fit_rules(docs, table(spark, folder, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op3_bpe_encoding)
+    f.__name__: f for f in (
+        op1_best_fit_packing, op2_quality_classifier, op3_bpe_encoding, op5_toxicity, op6_quality_rules,
+    )
 }
 ORACLES: dict[str, str] = {}
