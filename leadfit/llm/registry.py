@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadfit.llm import bpe, packing, quality, rules, toxicity
+from leadfit.llm import bpe, neardup, packing, quality, rules, toxicity
 from leadfit.llm.common import id_remainder, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -45,9 +45,13 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.judge_documents(docs, rules.fit_rules(docs, table(spark, folder, "labels")))
 
 
+def op8_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "documents"), words=3, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_best_fit_packing, op2_quality_classifier, op3_bpe_encoding, op5_toxicity, op6_quality_rules,
+        op1_best_fit_packing, op2_quality_classifier, op3_bpe_encoding, op5_toxicity, op6_quality_rules, op8_minhash_near_dedup,
     )
 }
 ORACLES: dict[str, str] = {}

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadfit.llm.common import sampled_labels, sampled_texts
+from leadfit.llm.common import sampled_labels, sampled_texts, written
 
 WORD = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"[.!?\n]+")
@@ -60,44 +60,37 @@ def swaps_of(text: str | None, kind_of: Mapping[str, str]) -> list[str]:
     return [t for s in SENTENCE.split((text or "").lower()) for t in sorted(kind_of.keys() & set(WORD.findall(s)))]
 
 
-def informative_words(texts: Sequence[frozenset[str] | set[str]], toxic: np.ndarray, weight: np.ndarray, most: int) -> list[str]:
-    """Words in at least two texts whose presence tells most about the label (weighted likelihood ratio), best first."""
-    total = {v: float(weight[toxic == v].sum()) for v in (0, 1)}
-    seen: Counter[str] = Counter()
-    by_class = {0: Counter(), 1: Counter()}
-    for words, v, w in zip(texts, toxic.tolist(), weight.tolist()):
-        seen.update(words)
-        for x in words:
-            by_class[v][x] += w
+def informative_words(words: DataFrame, most: int) -> list[str]:
+    """Of rows (word, label, weight), the words of at least two texts whose presence tells most about the label, by the
+    weighted likelihood ratio, best first."""
+    def weight_of(v: int) -> Column:
+        return F.sum(F.when(F.col("label") == v, F.col("weight")).otherwise(0.0))
 
-    def gain(x: str) -> float:
-        found, n = by_class[0][x] + by_class[1][x], total[0] + total[1]
-        out = 0.0
-        for v in (0, 1):
-            for o, share in ((by_class[v][x], found), (total[v] - by_class[v][x], n - found)):
-                if o > 1e-9:
-                    out += o * np.log(o * n / (total[v] * share))
-        return out
-
-    told = [(-gain(x), x) for x, n in seen.items() if n >= 2]
-    return [x for g, x in sorted(told) if g <= -LEAST_GAIN][:most]
+    total = words.select("doc_id", "label", "weight").distinct().agg(weight_of(0).alias("t0"), weight_of(1).alias("t1"))
+    seen = words.groupBy("word").agg(F.count(F.lit(1)).alias("texts"), weight_of(0).alias("s0"), weight_of(1).alias("s1")).where("texts > 1")
+    totals = total.first()
+    n = totals["t0"] + totals["t1"]
+    gain = F.lit(0.0)
+    found = F.col("s0") + F.col("s1")
+    for side in (0, 1):
+        all_of = F.lit(totals[f"t{side}"])
+        for inside, share in ((F.col(f"s{side}"), found), (all_of - F.col(f"s{side}"), n - found)):
+            gain = gain + F.when(inside > 1e-9, inside * F.log(inside * n / (all_of * share))).otherwise(0.0)
+    told = seen.select("word", gain.alias("gain")).where(F.col("gain") >= LEAST_GAIN)
+    return [r["word"] for r in told.orderBy(F.desc("gain"), "word").limit(most).collect()]
 
 
 def fit_weights(
-    texts: Sequence[set[str]], toxic: Sequence[int], weight: np.ndarray, swaps: Mapping[tuple[str, str], int],
-    penalty: float = 5.0, ridge: float = 5e-5, features: int = FEATURES,
+    present: Sequence[Sequence[int]], toxic: Sequence[int], weight: np.ndarray, vocabulary: Sequence[str],
+    swaps: Mapping[tuple[str, str], int], penalty: float = 5.0, ridge: float = 5e-5,
 ) -> ToxicityModel:
     """Logistic loss of the texts + ridge |w|^2 / 2 + penalty * mean over swaps of (change of the score)^2.
 
-    A swap (a, b) is a sentence whose term a gives way to b; b is empty where a is taken out. Scores are linear in the
-    presence of words, so the change is w_b - w_a.
+    present holds the places in the vocabulary of each text's words. A swap (a, b) is a sentence whose term a gives way
+    to b; b is empty where a is taken out. Scores are linear in the presence of words, so the change is w_b - w_a.
     """
     y = np.array(toxic)
-    vocabulary = informative_words(texts, y, weight, features)
-    terms = {t for pair in swaps for t in pair if t}
-    vocabulary += sorted(terms - set(vocabulary))
     place = {w: i for i, w in enumerate(vocabulary)}
-    present = [sorted(place[w] for w in t if w in place) for t in texts]
     row = np.repeat(np.arange(len(present)), [len(p) for p in present])
     column = np.array([c for p in present for c in p], np.int64)
     m = len(vocabulary)
@@ -146,18 +139,30 @@ def fit_toxicity(
                 "terms": [swaps_of(t, kind_of)[:WORDS_OF_A_TEXT] for t in batch["text"]],
             })
 
-    rows = sampled_texts(docs, sample).mapInPandas(features, "doc_id long, label int, words array<string>, terms array<string>")
-    rows = sorted(rows.dropDuplicates(["doc_id"]).collect(), key=lambda r: r["doc_id"])
-    y = np.array([r["label"] for r in rows])
-    if not (y == 0).any() or not (y == 1).any():
+    rows = sampled_texts(docs, sample).dropDuplicates(["doc_id"]).mapInPandas(features, "doc_id long, label int, words array<string>, terms array<string>")
+    rows = written(rows, "labelled")
+    found = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not found.get(0) or not found.get(1):
         return ToxicityModel({}, float(np.log(sizes[1] / sizes[0])))
-    weight = np.where(y == 1, sizes[1] / (y == 1).sum(), sizes[0] / (y == 0).sum())
+    share = {v: sizes[v] / found[v] * (found[0] + found[1]) / (sizes[0] + sizes[1]) for v in (0, 1)}
+    weights = F.when(F.col("label") == 1, share[1]).otherwise(share[0])
+    vocabulary = informative_words(rows.select("doc_id", "label", weights.alias("weight"), F.explode("words").alias("word")), FEATURES)
     swaps: Counter[tuple[str, str]] = Counter()
-    for r in rows:
-        for term in r["terms"]:
-            others = [t for t in identity_terms[kind_of[term]] if t != term]
-            swaps.update([(term, "")] + [(term, t) for t in others])
-    return fit_weights([set(r["words"]) for r in rows], y.tolist(), weight, swaps, penalty)
+    for r in rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect():
+        term = r["term"]
+        for other in ["", *(t for t in identity_terms[kind_of[term]] if t != term)]:
+            swaps[term, other] += r["n"]
+    vocabulary += sorted({t for pair in swaps for t in pair if t} - set(vocabulary))
+    place = {w: i for i, w in enumerate(vocabulary)}
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch["places"] = [[place[w] for w in words if w in place] for words in batch["words"]]
+            yield batch[["doc_id", "label", "places"]]
+
+    texts = rows.select("doc_id", "label", "words").mapInPandas(places, "doc_id long, label int, places array<int>").toPandas().sort_values("doc_id")
+    y = texts["label"].tolist()
+    return fit_weights(texts["places"].tolist(), y, np.array([share[v] for v in y]), vocabulary, swaps, penalty)
 
 
 def toxicity_score(spark: SparkSession, model: ToxicityModel, text: Column) -> Column:
