@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadfit.llm import bpe, neardup, packing, quality, rules, toxicity
+from leadfit.llm import bpe, neardup, packing, quality, rules, topk, toxicity
 from leadfit.llm.common import id_remainder, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -45,13 +45,34 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.judge_documents(docs, rules.fit_rules(docs, table(spark, folder, "labels")))
 
 
+def op7_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_products(table(spark, folder, "embeddings"), k=5, every=50, scale=256)
+
+
 def op8_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"), words=3, percent=85)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_best_fit_packing, op2_quality_classifier, op3_bpe_encoding, op5_toxicity, op6_quality_rules, op8_minhash_near_dedup,
+        op1_best_fit_packing, op2_quality_classifier, op3_bpe_encoding, op5_toxicity, op6_quality_rules, op7_exact_top_k, op8_minhash_near_dedup,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_exact_top_k": """
+WITH vectors AS (
+    SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
+), scored AS (
+    SELECT q.id AS query_id, c.id AS vec_id,
+           CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM vectors q JOIN vectors c ON q.id <> c.id
+    WHERE q.id % 50 = 0
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
+}
