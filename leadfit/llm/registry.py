@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadfit.llm import bpe, neardup, packing, quality, rules, topk, toxicity, urls
+from leadfit.llm import bpe, html, neardup, packing, quality, rules, topk, toxicity, urls
 from leadfit.llm.common import id_remainder, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -53,6 +53,11 @@ def op8_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"), words=3, percent=85)
 
 
+def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return html.main_text(pages, html.fit_extractor(pages))
+
+
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
@@ -64,7 +69,7 @@ def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_best_fit_packing, op2_quality_classifier, op3_bpe_encoding, op5_toxicity, op6_quality_rules, op7_exact_top_k, op8_minhash_near_dedup,
-        op10_url_filters,
+        op9_html_extraction, op10_url_filters,
     )
 }
 ORACLES: dict[str, str] = {
