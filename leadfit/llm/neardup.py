@@ -25,12 +25,14 @@ from pyspark.sql import functions as F
 
 from leadfit.llm.common import texts_of, written
 
-K = 128  # retained values
+K = 256  # retained values
 INDEXED = 48  # smallest retained values whose runs are indexed
 RUN = 3  # neighbouring values in a key of the index
 SHORT = 16  # sets up to this size are indexed by runs of 2 as well
 MARGIN = 4.5  # standard deviations that an estimate may lie below the threshold
 FEW = 12  # smallest values whose lists bring the last open nodes together
+PAIRED = 8  # members up to which a list's pairs are written out
+SURE = 3  # pairs of two components that are passed on where the estimate leaves no doubt
 BLOCK = 1024  # members of a long list that are compared with as many others at once
 PREFILTER_SLOTS = 1 << 18  # bound of the ids that are sent to the scan of texts
 BYTES_AT_ONCE = 16 << 20
@@ -133,21 +135,26 @@ def postings(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "sketch").mapInArrow(run, "key long, node long")
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of common values among the K smallest of the union of two sketches; exact for sets of at most K."""
-    both = np.concatenate([a, b])
-    both.sort()
-    twice = both[:-1] == both[1:]
-    # of the first K distinct values, those that stand twice
-    rank = np.arange(len(both) - 1) - (np.cumsum(twice) - twice)
-    union = min(K, len(both) - int(twice.sum())) if len(a) >= K or len(b) >= K else len(both) - int(twice.sum())
-    return float((twice & (rank < union)).sum() / union) if union else 0.0
+def passes(common: np.ndarray, left: np.ndarray, right: np.ndarray, full: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether pairs may reach the threshold, from the sketch of their union.
+
+    Up to the smaller of the two sketches' last values both sets are known: left and right are their numbers of values
+    up to there, common the shared ones. Of left + right - common values of the union the share of common ones estimates
+    the similarity; where both sketches hold the full sets it is exact.
+    """
+    share, doubt = estimated(common, left, right, full, threshold)
+    return share >= threshold - doubt
+
+
+def estimated(common: np.ndarray, left: np.ndarray, right: np.ndarray, full: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The estimate and how far it may be off at the threshold."""
+    union = np.maximum(left + right - common, 1)
+    return common / union, np.where(full, 1e-9, MARGIN * np.sqrt(threshold * (1 - threshold) / union))
 
 
-def least_estimate(threshold: float, size: np.ndarray | int) -> np.ndarray:
-    """An estimate from K of more values may fall this low though the threshold is met; smaller sets are told exactly."""
-    doubt = MARGIN * np.sqrt(threshold * (1 - threshold) / K)
-    return np.where(np.asarray(size) <= K, threshold - 1e-9, threshold - doubt)
+def last_value(sketch: np.ndarray) -> int:
+    """The value up to which a set is known: its sketch's last, or beyond all for a full set."""
+    return int(sketch[-1]) if len(sketch) >= K else 2**32
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -159,8 +166,14 @@ def likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:
-            e = np.array([estimate(np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4")) for p, q in zip(t["sketch_a"], t["sketch_b"])])
-            yield t.loc[e >= least_estimate(threshold, np.maximum(t["n_a"], t["n_b"])), ["a", "b"]]
+            seen = np.zeros((len(t), 4), np.int64)
+            for row, p, q in zip(seen, t["sketch_a"], t["sketch_b"]):
+                x, y = np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4")
+                known = min(last_value(x), last_value(y))
+                row[:] = (
+                    len(np.intersect1d(x, y, assume_unique=True)), np.searchsorted(x, known, "right"),
+                    np.searchsorted(y, known, "right"), known == 2**32)
+            yield t.loc[passes(seen[:, 0], seen[:, 1], seen[:, 2], seen[:, 3] == 1, threshold), ["a", "b"]]
 
     return joined.mapInPandas(run, "a long, b long")
 
@@ -228,9 +241,17 @@ def unresolved_pairs(lists: DataFrame, nodes: DataFrame, labels: DataFrame, thre
     mixed_ = mixed_.where((F.col("low") < F.col("high")) & (F.col("size") > 2)).select("key")
     open_ = named.join(mixed_, "key").groupBy("node").agg(F.first("label").alias("label"))
     met = written(_small_values(open_.join(nodes, "node"), threshold), "met")
-    sizes = met.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
-    sizes = sizes.where(F.col("low") < F.col("high")).select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    dealt = met.join(sizes, "key").select(
+    sizes = met.groupBy("key").agg(
+        F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("lower").alias("all_lower"))
+    sizes = sizes.where((F.col("low") < F.col("high")) & ~F.col("all_lower"))
+    # short lists: their few pairs
+    short = met.join(sizes.where(F.col("size") <= PAIRED).select("key"), "key")
+    other = short.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("lower").alias("lower_b"))
+    few = short.join(other, "key").where("node < b AND label <> label_b AND NOT (lower AND lower_b)")
+    few = likely(few.select(F.col("node").alias("a"), "b").distinct(), nodes, threshold)
+    # long lists: blocks
+    blocks = sizes.where(F.col("size") > PAIRED).select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    dealt = met.join(blocks, "key").select(
         "key", "node", "label", "lower", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int").alias("block"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key", "node", "label", "lower", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
@@ -244,7 +265,7 @@ def unresolved_pairs(lists: DataFrame, nodes: DataFrame, labels: DataFrame, thre
         return pd.DataFrame({"a": node[a], "b": node[b]})
 
     pairs = rows.groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(few).distinct()
 
 
 def _small_values(nodes: DataFrame, threshold: float) -> DataFrame:
@@ -266,10 +287,10 @@ def _small_values(nodes: DataFrame, threshold: float) -> DataFrame:
 
 
 def allowed_pairs(t: pd.DataFrame, threshold: float, left: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the pairs of rows (node, n, sketch, label, lower) of different labels that sizes and sketches allow; with
-    left, only pairs of one row of it and one outside."""
+    """Positions of pairs of rows (node, n, sketch, label, lower) of different labels that sizes and sketches allow, as
+    many as can matter for linking the labels; with left, only pairs of one row of it and one outside."""
     sketches = [np.frombuffer(s, "<u4") for s in t["sketch"]]
-    n, label = t["n"].to_numpy(), t["label"].to_numpy()
+    n, label = t["n"].to_numpy(np.int32), t["label"].to_numpy()
     value, code = np.unique(np.concatenate(sketches), return_inverse=True)
     row = np.repeat(np.arange(len(sketches)), [len(s) for s in sketches])
     often = np.bincount(code, minlength=len(value)) > 1
@@ -278,18 +299,27 @@ def allowed_pairs(t: pd.DataFrame, threshold: float, left: np.ndarray | None) ->
     member[row[often[code]], column[code[often[code]]]] = 1
     common = member @ member.T
     small, large = np.minimum.outer(n, n), np.maximum.outer(n, n)
-    # common values of two sketches are at most those of the sets, so this bound only drops what can't pass
-    held = np.minimum(small, K)
     apart = label[:, None] != label[None, :]
     lower = t["lower"].to_numpy(bool)
     apart &= ~(lower[:, None] & lower[None, :])  # those meet in the range below
     if left is not None:
         apart &= left[:, None] & ~left[None, :]
-    test = apart & (small >= (threshold - 1e-9) * large) & (common >= 0.6 * threshold * held)
+    # values of row i up to the last known one of both i and j
+    last = np.array([last_value(x) for x in sketches])
+    known = np.stack([np.searchsorted(x, np.minimum(last, own), "right").astype(np.int32) for x, own in zip(sketches, last)])
+    full = (last == 2**32)[:, None] & (last == 2**32)[None, :]
+    share, doubt = estimated(common, known, known.T, full, threshold)
+    test = apart & (small >= (threshold - 1e-9) * large) & (share >= threshold - doubt)
     a, b = np.nonzero(np.triu(test) if left is None else test)
-    e = np.array([estimate(sketches[p], sketches[q]) for p, q in zip(a.tolist(), b.tolist())])
-    passed = e >= least_estimate(threshold, large[a, b]) if len(e) else np.zeros(0, bool)
-    return a[passed], b[passed]
+    share, sure = share[a, b], share[a, b] >= np.where(full[a, b], threshold - 1e-9, threshold + doubt[a, b])
+    # two components need no more than one link: SURE pairs of best estimate where there are such, else all pairs
+    found = pd.DataFrame({
+        "a": a, "b": b, "open": ~sure, "share": -share,
+        "x": np.minimum(label[a], label[b]), "y": np.maximum(label[a], label[b])}).sort_values(["open", "share", "a", "b"])
+    found["first"] = ~found.groupby(["x", "y"])["open"].transform("first").astype(bool)
+    place = found.groupby(["x", "y"]).cumcount()
+    found = found[(found["first"] & (place < SURE)) | ~found["first"]]
+    return found["a"].to_numpy(), found["b"].to_numpy()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
