@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadfit.llm import bpe, html, neardup, packing, quality, rules, topk, toxicity, urls
+from leadfit.llm import bpe, html, licenses, neardup, packing, quality, rules, topk, toxicity, urls
 from leadfit.llm.common import id_remainder, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -33,6 +34,13 @@ def op3_bpe_encoding(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_documents(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER), with_ids=False)
 
 
+def op4_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan_licences(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", F.array_join("sentence_ids", " ").alias("sentence_ids"), F.array_join("licences", " ").alias("licences"),
+        F.array_join("unmatched", " ").alias("unmatched"))
+
+
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = toxicity.fit_toxicity(docs, table(spark, folder, "labels"), parts=5, held_out=0)
@@ -67,12 +75,46 @@ def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (
-        op1_best_fit_packing, op2_quality_classifier, op3_bpe_encoding, op5_toxicity, op6_quality_rules, op7_exact_top_k, op8_minhash_near_dedup,
+    "pipeline": corpus_pipeline.run,
+    **{f.__name__: f for f in (
+        op1_best_fit_packing, op2_quality_classifier, op3_bpe_encoding, op4_license_scans, op5_toxicity, op6_quality_rules, op7_exact_top_k, op8_minhash_near_dedup,
         op9_html_extraction, op10_url_filters,
-    )
+    )},
 }
+
+
+def _licence_sql() -> str:
+    """The sentence rules in SQL: sentences as rows, known forms as a table, rules one after another over the sequence."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    known = ", ".join(f"({quoted(s)}, {quoted(name)})" for name, forms in licenses.SENTENCES.items() for s in forms)
+    steps = ["l0 AS (SELECT doc_id, n, ids, coalesce(line, '') AS line, '' AS found FROM lines)"]
+    for k, (licence, sequence) in enumerate(licenses.RULES):
+        mark = quoted("".join(f" {x} " for x in sequence))
+        name = quoted(licence + " ")
+        steps.append(
+            f"l{k + 1} AS (SELECT doc_id, n, ids, replace(line, {mark}, ' | ') AS line, CASE WHEN contains(line, {mark}) AND NOT contains(' ' || found, ' ' || {name})"
+            f" THEN found || {name} ELSE found END AS found FROM l{k})")
+    return f"""
+WITH known(form, name) AS (VALUES {known}),
+docs AS (SELECT row_number() OVER () AS n, doc_id, text FROM documents),
+parts AS (
+    SELECT n, unnest(string_split_regex(lower(coalesce(text, '')), '[.!?;:]+(?:[ \t\v\f]|$)|[.!?;:]*[\r\n]+')) AS part,
+           generate_subscripts(string_split_regex(lower(coalesce(text, '')), '[.!?;:]+(?:[ \t\v\f]|$)|[.!?;:]*[\r\n]+'), 1) AS place
+    FROM docs
+), hits AS (
+    SELECT n, place, name FROM parts JOIN known ON trim(regexp_replace(part, '[^a-z0-9+.]+', ' ', 'g')) = form
+), lines AS (
+    SELECT docs.n, docs.doc_id, string_agg(name, ' ' ORDER BY place) AS ids, string_agg(' ' || name || ' ', '' ORDER BY place) AS line
+    FROM docs LEFT JOIN hits ON docs.n = hits.n GROUP BY docs.n, docs.doc_id
+), {", ".join(steps)}
+SELECT doc_id, coalesce(ids, '') AS sentence_ids, trim(found) AS licences,
+       trim(regexp_replace(line, '[ |]+', ' ', 'g')) AS unmatched
+FROM l{len(licenses.RULES)}
+"""
+
+
 ORACLES: dict[str, str] = {
+    "op4_license_scans": _licence_sql(),
     "op7_exact_top_k": """
 WITH vectors AS (
     SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
