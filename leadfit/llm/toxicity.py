@@ -87,35 +87,36 @@ def fit_weights(
     """Logistic loss of the texts + ridge |w|^2 / 2 + penalty * mean over swaps of (change of the score)^2.
 
     present holds the places in the vocabulary of each text's words. A swap (a, b) is a sentence whose term a gives way
-    to b; b is empty where a is taken out. Scores are linear in the presence of words, so the change is w_b - w_a.
+    to b; b is empty where a is taken out. Scores are linear in the presence of words and word
+    beginnings, so the change is the weight of those of b less that of those of a.
     """
     y = np.array(toxic)
     place = {w: i for i, w in enumerate(vocabulary)}
     row = np.repeat(np.arange(len(present)), [len(p) for p in present])
     column = np.array([c for p in present for c in p], np.int64)
     m = len(vocabulary)
-    # a last place, always 0, stands for a term taken out
-    pairs = np.array([[place.get(a, m), place.get(b, m)] for a, b in swaps], np.int64).reshape(-1, 2)
+    # a swap takes all features of its first term away and brings those of its second
+    moves = [(k, place[x], sign) for k, pair in enumerate(swaps) for t, sign in zip(pair, (-1.0, 1.0)) for x in sorted(words_of(t))]
+    pair, moved = (np.array([m[i] for m in moves], np.int64) for i in (0, 1))
+    sign = np.array([m[2] for m in moves], float)
     often = np.array(list(swaps.values()), float)
     often = often / often.sum() if len(often) else often
     share = weight / weight.sum()
-    w, b = np.zeros(m + 1), 0.0
-    mean, square = np.zeros(m + 2), np.zeros(m + 2)
+    w, b = np.zeros(m), 0.0
+    mean, square = np.zeros(m + 1), np.zeros(m + 1)
     for t in range(1, ROUNDS + 1):
         z = np.bincount(row, w[column], len(present)) + b
         error = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        grad = np.zeros(m + 2)
-        grad[:m] = np.bincount(column, error[row], m) + ridge * w[:m]
-        change = w[pairs[:, 1]] - w[pairs[:, 0]]
-        np.add.at(grad, pairs[:, 1], 2 * penalty * often * change)
-        np.add.at(grad, pairs[:, 0], -2 * penalty * often * change)
-        grad[m], grad[m + 1] = 0, error.sum()
+        change = np.bincount(pair, sign * w[moved], len(often))
+        grad = np.zeros(m + 1)
+        grad[:m] = np.bincount(column, error[row], m) + ridge * w
+        grad[:m] += np.bincount(moved, 2 * penalty * (often * change)[pair] * sign, m)
+        grad[m] = error.sum()
         mean = 0.9 * mean + 0.1 * grad
         square = 0.999 * square + 0.001 * grad**2
         step = 0.1 * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-8) * min(1.0, 3 * (1 - t / (ROUNDS + 1)))
-        w -= step[:m + 1]
-        b -= step[m + 1]
-        w[m] = 0
+        w -= step[:m]
+        b -= step[m]
     return ToxicityModel({x: float(w[i]) for x, i in place.items()}, float(b))
 
 
@@ -152,7 +153,7 @@ def fit_toxicity(
         term = r["term"]
         for other in ["", *(t for t in identity_terms[kind_of[term]] if t != term)]:
             swaps[term, other] += r["n"]
-    vocabulary += sorted({t for pair in swaps for t in pair if t} - set(vocabulary))
+    vocabulary += sorted({x for pair in swaps for t in pair for x in words_of(t)} - set(vocabulary))
     place = {w: i for i, w in enumerate(vocabulary)}
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
