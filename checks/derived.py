@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadfit.sources.tables import spread
 
 TODAY = "2026-09-16"
 AS_OF = "2026-09-16 12:00:00"
@@ -172,7 +171,7 @@ def render(sql: str, dialect: str, names: dict[str, str]) -> str:
     return out
 
 
-# tables that feed costly map-only work; each is one file here
+# tables that feed costly map-only work; each is one file here, which one task would read
 ROW_KEYS = {"orders": "o_orderkey", "pages": "page_id", "documents": "doc_id"}
 
 
@@ -184,7 +183,7 @@ class Inputs:
 
     def given(self, name: str) -> DataFrame:
         table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        return spread(table, ROW_KEYS[name]) if name in ROW_KEYS else table
+        return table.repartition(self.spark.sparkContext.defaultParallelism, ROW_KEYS[name]) if name in ROW_KEYS else table
 
     def _sql(self, text: str, **tables: DataFrame) -> DataFrame:
         return self.spark.sql(render(text, "spark", {}), **tables)

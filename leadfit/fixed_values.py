@@ -27,6 +27,8 @@ FREE_MAIL_HOSTS = [
     "gmail.com", "yahoo.com", "hotmail.com", "outlook.com", "aol.com", "icloud.com",
     "msn.com", "live.com", "comcast.net", "att.net", "sbcglobal.net", "verizon.net",
 ]
+HOST_MAX_CHARS = 253  # by the rules of DNS; longer values are no hosts
+EMAIL_MAX_CHARS = 320  # by the rules of mail
 EMAIL_SYNTAX = r"^[a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,24}$"
 ROLE_LOCAL_PARTS = [
     "info", "contact", "office", "admin", "sales", "support", "hello", "service", "team",
@@ -48,7 +50,6 @@ BLOCK_TITLES = r"just a moment|attention required|access denied|are you a robot|
 BLOCK_STATUSES = [401, 403, 429]
 BLOCK_BODY = r"captcha|cf-chl|challenge"
 RETRY_STATUSES = [429, 500, 502, 503, 504]
-MAX_HTML_CHARS = 1_500_000
 FRESH_HOURS = 72
 BLOCKED_SITE_ERROR = "Site shows a bot check (CAPTCHA). Review it manually."
 UNRESOLVED_HOST_ERROR = "Could not resolve host"

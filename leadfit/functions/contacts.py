@@ -33,6 +33,7 @@ def classify_email(email: Column | str, has_mx: Column) -> Column:
     """
     return let(tidy_email(email), lambda e: (
         F.when(e.isNull(), F.lit(None).cast("string"))
+        .when(F.length(e) > fv.EMAIL_MAX_CHARS, "invalid")  # before the pattern, which recurses by label
         .when(~e.rlike(fv.EMAIL_SYNTAX), "invalid")
         .when(~has_mx, "invalid")
         .when(is_role_local(email_local(e)), "role")

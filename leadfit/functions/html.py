@@ -12,16 +12,19 @@ from leadfit import fixed_values as fv
 from leadfit.functions.text import as_col, blank_to_null, let
 
 # Attribute text up to the closing bracket, quotes respected. The possessive loop runs
-# iteratively, so a huge tag cannot exhaust the stack.
+# iteratively, so a huge tag cannot exhaust the stack. A tag that never closes runs to the end of
+# the page (END), so it is scanned once and not again from each bracket inside it.
 ATTRS = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
+END = r"(?:>|\z)"
 HIDDEN_TAGS = ["script", "style", "noscript", "svg", "template", "rt", "rp"]
 HIDDEN = r"(?is)<(?:!--.*?(?:-->|\z)|" + "|".join(
-    rf"{tag}\b{ATTRS}>.*?(?:</{tag}\b[^>]*>|\z)" for tag in HIDDEN_TAGS
+    rf"{tag}\b{ATTRS}{END}.*?(?:</{tag}\b[^>]*{END}|\z)" for tag in HIDDEN_TAGS
 ) + ")"
-TAG = rf"(?s)<[a-zA-Z/!?]{ATTRS}>|<[a-zA-Z/!?][^>]*>"
+TAG = rf"(?s)<[a-zA-Z/!?]{ATTRS}>|<[a-zA-Z/!?][^>]*{END}"
 ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});"
-META_TAG = rf"(?is)<meta\b{ATTRS}>"
-ANCHOR = rf"(?is)<a(\s{ATTRS})>(.*?)(?:</a\s*>|\z)"
+META_TAG = rf"(?is)<meta\b{ATTRS}{END}"
+ANCHOR = rf"(?is)<a(\s{ATTRS}){END}(.*?)(?:</a\s*>|\z)"
+TITLE = rf"(?is)<title[^>]*{END}(.*?)(</title>|\z)"
 
 # Named entities come from the standard library; codes 128-159 are read as Windows-1252.
 _NAMED = {name: chr(code) for name, code in name2codepoint.items() if name != "amp"} | {"apos": "'"}
@@ -76,9 +79,15 @@ def html_to_text(html: Column | str) -> Column:
     return collapse_space(decode_entities(bare))
 
 
+def title_source(html: Column) -> Column:
+    """Content of the first title element; '' where none is closed."""
+    closed = F.regexp_extract(html, TITLE, 2) != ""
+    return F.when(closed, F.regexp_extract(html, TITLE, 1)).otherwise(F.when(html.isNotNull(), ""))
+
+
 def html_title(html: Column | str) -> Column:
     """Text of the first title element; NULL when there is none or it is empty."""
-    raw = F.regexp_extract(as_col(html), r"(?is)<title[^>]*>(.*?)</title>", 1)
+    raw = title_source(as_col(html))
     return blank_to_null(F.regexp_replace(decode_entities(raw), r"(?U)^\s+|\s+$", ""))
 
 
@@ -230,7 +239,7 @@ def page_kind_links(html: Column, base: Column, domain: Column) -> Column:
 def is_blocked(status: Column, html: Column) -> Column:
     """Bot wall: refused status with a challenge in the body, or a telling title."""
     refused = status.isin(fv.BLOCK_STATUSES) & html.rlike("(?i)" + fv.BLOCK_BODY)
-    title = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
+    title = title_source(html)
     return F.coalesce(refused | title.rlike("(?i)" + fv.BLOCK_TITLES), F.lit(False))
 
 
@@ -238,7 +247,8 @@ def fetch_ok(status: Column, blocked: Column, html: Column) -> Column:
     return F.coalesce(status.between(200, 299) & ~blocked & (F.length(html) > 0), F.lit(False))
 
 
-def html_only(html: Column, content_type: Column) -> Column:
-    """Body when the type says html or nothing at all, capped at the page limit; else ''."""
+def html_only(html: Column, content_type: Column, keep: int | None = None) -> Column:
+    """Body when the type says html or nothing at all; else ''. `keep` cuts it to so many characters."""
+    body = F.substring(html, 1, keep) if keep else html
     wanted = F.coalesce(content_type, F.lit("")) == ""
-    return F.when(wanted | content_type.contains("html"), F.substring(html, 1, fv.MAX_HTML_CHARS)).otherwise("")
+    return F.when(wanted | content_type.contains("html"), body).otherwise("")

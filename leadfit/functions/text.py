@@ -65,7 +65,7 @@ def normalize_domain(c: Column | str) -> Column:
         return F.regexp_replace(F.regexp_replace(found, r"^www\.", ""), r"^\.+|\.+$", "")
 
     return let(F.lower(F.trim(as_col(c))), lambda t: let(after_at(t), lambda v: let(
-        host(v), lambda h: F.when(h.rlike(fv.HOST_PATTERN), h))))
+        host(v), lambda h: F.when(F.length(h) <= fv.HOST_MAX_CHARS, F.when(h.rlike(fv.HOST_PATTERN), h)))))
 
 
 def parse_employees(c: Column | str) -> Column:

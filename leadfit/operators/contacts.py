@@ -12,15 +12,19 @@ from leadfit.operators.skew import balanced_left_join
 
 
 def mx_join(
-    leads: DataFrame, mx_hosts: DataFrame, email: str = "email", row_id: str = "lead_key", hot_rows: int = 1_000_000
+    leads: DataFrame, mx_hosts: DataFrame, email: str = "email", row_id: str = "lead_key", hot_rows: int = 1_000_000,
+    hosts_of: DataFrame | None = None,
 ) -> DataFrame:
     """Leads with `has_mx` of their e-mail host: TRUE, FALSE, or NULL when it was not checked.
 
-    A free mail host can hold a large share of all addresses, hence the balanced join.
+    A free mail host can hold a large share of all addresses, hence the balanced join. `hosts_of` is a
+    cheaper table with at least the addresses of `leads`, to find frequent hosts in.
     """
     hosted = leads.withColumn("_host", ct.email_host(ct.tidy_email(email)))
     checks = mx_hosts.groupBy(F.lower("host").alias("_host")).agg(F.bool_or("has_mx").alias("has_mx"))
-    return balanced_left_join(hosted, checks, ["_host"], [row_id], hot_rows=hot_rows).drop("_host")
+    counted = hosts_of if hosts_of is not None else hosted
+    counted = counted.select(ct.email_host(ct.tidy_email(email)).alias("_host"))
+    return balanced_left_join(hosted, checks, ["_host"], [row_id], hot_rows=hot_rows, hot_source=counted).drop("_host")
 
 
 def fill_contacts(leads: DataFrame) -> DataFrame:

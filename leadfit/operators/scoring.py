@@ -36,18 +36,14 @@ def score_leads(leads: DataFrame, icp: dict | None, today: date) -> DataFrame:
     return _score(leads, sc.IcpColumns.fixed(icp), today)
 
 
-MAX_BROADCAST_PARAMS = 10_000
-
-
 def cross_params(leads: DataFrame, params: DataFrame) -> DataFrame:
     """Every lead with every buy box, which is what a sweep asks for.
 
-    A counted, small table of buy boxes is broadcast, so leads are not moved; a larger one is left
-    to the planner, which splits both sides.
+    The planner broadcasts the buy boxes where their bytes are few, so leads are not moved, and
+    splits both sides otherwise.
     """
     packed = params.select("icp_id", F.struct(*[c for c in params.columns if c != "icp_id"]).alias("icp"))
-    few = params.limit(MAX_BROADCAST_PARAMS + 1).count() <= MAX_BROADCAST_PARAMS
-    return leads.crossJoin(F.broadcast(packed) if few else packed)
+    return leads.crossJoin(packed)
 
 
 def rescore_all(leads: DataFrame, params: DataFrame, today: date) -> DataFrame:

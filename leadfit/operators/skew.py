@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_KEYS_LISTED = 1000
+from leadfit.sources.tables import materialize
+
 NULL_SALTS = 1 << 20
 
 
@@ -17,15 +18,14 @@ def balanced_left_join(
     keys: list[str],
     spread: list[str],
     hot_rows: int | None = 1_000_000,
-    salts: int = 64,
     hot_source: DataFrame | None = None,
 ) -> DataFrame:
     """`left` LEFT JOIN `right` on equal-named `keys`.
 
     Rows with a NULL key match nothing and are spread over the shuffle instead of meeting in one
-    partition. Keys with at least `hot_rows` left rows are split into `salts` parts and their
-    right rows repeated once per part. The list of hot keys is broadcast; it is cut at the 1000
-    largest, and keys beyond the cut are simply joined unsplit, so the result never depends on it.
+    partition. A key with n >= `hot_rows` left rows is split into ceil(n / hot_rows) parts and its
+    right rows repeated once per part. The list of hot keys has at most one key per `hot_rows` rows;
+    it is written once, and both sides use what was written.
     `spread` names columns that tell left rows apart; the split is a hash of them and therefore
     the same when a task is run again. `hot_rows=None` is for keys known to be unique on the left.
     `hot_source` is a cheaper table to count keys in, with at least the rows of `left`.
@@ -37,20 +37,19 @@ def balanced_left_join(
         other = right.withColumn("_salt", F.lit(0).cast("bigint"))
         return salted.join(other, [*keys, "_salt"], "left").drop("_salt")
 
-    hot = (
+    hot = materialize(
         (hot_source or left).where(~any_null).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") >= hot_rows)
-        .orderBy(F.desc("_n")).limit(HOT_KEYS_LISTED)
-        .select(*keys, F.lit(True).alias("_hot"))
+        .select(*keys, F.ceil(F.col("_n") / F.lit(hot_rows)).cast("bigint").alias("_parts")),
+        "hot-keys",
     )
     salted = left.join(F.broadcast(hot), keys, "left").withColumn(
         "_salt",
         F.when(any_null, F.pmod(row_hash, F.lit(NULL_SALTS)))
-        .when(F.col("_hot"), F.pmod(row_hash, F.lit(salts)))
+        .when(F.col("_parts").isNotNull(), F.pmod(row_hash, F.col("_parts")))
         .otherwise(F.lit(0)),
-    ).drop("_hot")
+    ).drop("_parts")
     repeated = right.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt",
-        F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))),
-    ).withColumn("_salt", F.col("_salt").cast("bigint")).drop("_hot")
+        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_parts", F.lit(1)) - 1)),
+    ).drop("_parts")
     return salted.join(repeated, [*keys, "_salt"], "left").drop("_salt")

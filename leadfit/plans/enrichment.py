@@ -15,7 +15,7 @@ from leadfit.operators.scoring import score_leads
 from leadfit.operators.site_signals import signals_struct, site_rollup, site_signals, with_name_brand
 from leadfit.operators.skew import balanced_left_join
 from leadfit.schemas import LEAD_TABLE, conform
-from leadfit.sources.tables import materialize, spread
+from leadfit.sources.tables import materialize
 
 
 def signals_of_sites(fetches: DataFrame, today: date) -> DataFrame:
@@ -25,7 +25,7 @@ def signals_of_sites(fetches: DataFrame, today: date) -> DataFrame:
     HTML must not be read twice. The signals are written for the same reason: enrichment uses them
     for the leads and to find e-mail hosts that many leads share.
     """
-    findings = materialize(fetch_findings(clean_fetches(spread(fetches, "url")), today), "page-findings")
+    findings = materialize(fetch_findings(clean_fetches(fetches), today), "page-findings")
     pages, status = site_pages(findings)
     return materialize(site_signals(site_rollup(pages, today), status, today), "site-signals")
 

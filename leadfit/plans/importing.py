@@ -18,7 +18,7 @@ def merged_leads(raw: DataFrame) -> DataFrame:
 
 def import_rows(table: VersionedTable, raw: DataFrame, batch_id: str, today: date, icp: dict | None = None) -> DataFrame:
     """Merge a batch into the stored table and write its next version."""
-    batch_no = len(table.versions()) + 1
+    batch_no = max(table.versions(), default=0) + 1  # old versions may have been removed
     return table.write(upsert_leads(table.read(), merged_leads(raw), batch_id, batch_no, today, icp))
 
 

@@ -28,16 +28,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(scan: DataFrame, *keys: str) -> DataFrame:
-    """A scanned table over all cores, when its files give fewer splits than there are cores.
-
-    For map-only work that costs milliseconds per row. Hashing on a unique key is the same when a
-    task runs again. Large tables have enough splits and stay as they are.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, *keys) if scan.rdd.getNumPartitions() < cores else scan
-
-
 class VersionedTable:
     """A Parquet table as numbered version folders; readers take the newest finished one.
 
