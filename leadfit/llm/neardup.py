@@ -32,7 +32,7 @@ SHORT = 16  # sets up to this size are indexed by runs of 2 as well
 MARGIN = 4.5  # standard deviations that an estimate may lie below the threshold
 FEW = 12  # smallest values whose lists bring the last open nodes together
 PAIRED = 8  # members up to which a list's pairs are written out
-SURE = 3  # pairs of two components that are passed on where the estimate leaves no doubt
+SURE = 3  # pairs of two components that are passed on where an estimate leaves no doubt
 BLOCK = 1024  # members of a long list that are compared with as many others at once
 PREFILTER_SLOTS = 1 << 18  # bound of the ids that are sent to the scan of texts
 BYTES_AT_ONCE = 16 << 20
@@ -311,15 +311,38 @@ def allowed_pairs(t: pd.DataFrame, threshold: float, left: np.ndarray | None) ->
     share, doubt = estimated(common, known, known.T, full, threshold)
     test = apart & (small >= (threshold - 1e-9) * large) & (share >= threshold - doubt)
     a, b = np.nonzero(np.triu(test) if left is None else test)
-    share, sure = share[a, b], share[a, b] >= np.where(full[a, b], threshold - 1e-9, threshold + doubt[a, b])
+    told, share = full[a, b], share[a, b]
+    sure = share >= np.where(told, threshold - 1e-9, threshold + doubt[a, b])
     # two components need no more than one link: SURE pairs of best estimate where there are such, else all pairs
     found = pd.DataFrame({
-        "a": a, "b": b, "open": ~sure, "share": -share,
-        "x": np.minimum(label[a], label[b]), "y": np.maximum(label[a], label[b])}).sort_values(["open", "share", "a", "b"])
-    found["first"] = ~found.groupby(["x", "y"])["open"].transform("first").astype(bool)
-    place = found.groupby(["x", "y"]).cumcount()
-    found = found[(found["first"] & (place < SURE)) | ~found["first"]]
-    return found["a"].to_numpy(), found["b"].to_numpy()
+        "a": a, "b": b, "open": ~sure, "guess": ~told, "share": -share,
+        "x": np.minimum(label[a], label[b]), "y": np.maximum(label[a], label[b])}).sort_values(["open", "guess", "share", "a", "b"])
+    pairs = found.groupby(["x", "y"])
+    best = pairs[["open", "guess"]].transform("first").astype(bool)
+    place = pairs.cumcount()
+    exact = found[~best["open"] & ~best["guess"] & (place == 0)]
+    rest = found[~best["open"] & best["guess"] & (place < SURE) | best["open"]]
+    kept = pd.concat([exact[spanning(exact["x"].tolist(), exact["y"].tolist())], rest])
+    return kept["a"].to_numpy(), kept["b"].to_numpy()
+
+
+def spanning(x: list[int], y: list[int]) -> np.ndarray:
+    """Which of the links x - y, in order, join what those before have not joined yet."""
+    above: dict[int, int] = {}
+
+    def top(v: int) -> int:
+        while above.setdefault(v, v) != v:
+            above[v] = above[above[v]]
+            v = above[v]
+        return v
+
+    out = np.zeros(len(x), bool)
+    for k, (v, w) in enumerate(zip(x, y)):
+        v, w = top(v), top(w)
+        if v != w:
+            above[w] = v
+            out[k] = True
+    return out
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
