@@ -27,7 +27,7 @@ PLAIN = re.compile(r"[\t\n\r -~¡-įı-ž]*")
 # a word of the tokenizer, as RE2 writes it
 WORD = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)"
 CELLS = 1 << 16  # leaves that step together
-BYTES_AT_ONCE = 32 << 20  # text whose words are encoded together; a longer text goes alone
+BYTES_AT_ONCE = 16 << 20  # text whose words are encoded together; a longer text goes alone
 IDS_AT_ONCE = 1 << 20  # ids written out together
 
 

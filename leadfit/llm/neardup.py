@@ -35,7 +35,8 @@ PAIRED = 8  # members up to which a list's pairs are written out
 SURE = 3  # pairs of two components that are passed on where an estimate leaves no doubt
 BLOCK = 1024  # members of a long list that are compared with as many others at once
 PREFILTER_SLOTS = 1 << 18  # bound of the ids that are sent to the scan of texts
-BYTES_AT_ONCE = 16 << 20
+BYTES_AT_ONCE = 4 << 20
+ROWS_AT_ONCE = 256  # rows of a block that are compared with the others at once
 
 _P1, _P2, _P3 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -59,7 +60,9 @@ def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
 
     Words are runs without ASCII white space, A-Z in lower case.
     """
-    plain = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
+    # a compact copy: Arrow's ASCII kernels misread slices of arrays
+    plain = pa.array([t or "" for t in texts.to_pylist()], pa.large_string())
+    plain = pc.ascii_trim_whitespace(pc.ascii_lower(plain))
     pieces = pc.ascii_split_whitespace(plain)
     end = pieces.offsets.to_numpy()[1:] - pieces.offsets.to_numpy()[0]
     coded = pieces.flatten().dictionary_encode()
@@ -189,25 +192,20 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, pe
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in portions(batches):
-            found = [x.tobytes() for x in shingle_sets(t.column("text"), words)]
-            hashes = [np.uint64(xxhash.xxh3_64_intdigest(x)).astype(np.int64).item() for x in found]
+            found = [x.view(np.int64) for x in shingle_sets(t.column("text"), words)]
+            hashes = [np.uint64(xxhash.xxh3_64_intdigest(x.tobytes())).astype(np.int64).item() for x in found]
             mine = np.array([h == n for h, n in zip(hashes, t.column("node").to_pylist())], bool)
-            yield pa.RecordBatch.from_arrays([t.column("node"), pa.array(found, pa.binary())], ["node", "items"]).filter(pa.array(mine))
+            items = pa.ListArray.from_arrays(
+                pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
+            yield pa.RecordBatch.from_arrays([t.column("node"), items], ["node", "items"]).filter(pa.array(mine))
 
     # an id that stands on several texts gives the text that the node was made of
-    full = written(rows.join(ids, "doc_id").mapInArrow(sets, "node long, items binary").dropDuplicates(["node"]), "sets")
+    full = written(rows.join(ids, "doc_id").mapInArrow(sets, "node long, items array<long>").dropDuplicates(["node"]), "sets")
     left, right = (full.select(F.col("node").alias(s), F.col("items").alias(f"items_{s}")) for s in "ab")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for t in batches:
-            good = []
-            for p, q in zip(t["items_a"], t["items_b"]):
-                x, y = np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8")
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield t.loc[np.array(good, bool), ["a", "b"]]
-
-    return pairs.join(left, "a").join(right, "b").mapInPandas(run, "a long, b long")
+    common = F.size(F.array_intersect("items_a", "items_b"))
+    union = F.size("items_a") + F.size("items_b") - common
+    return pairs.join(left, "a").join(right, "b").where(100 * common.cast("long") >= percent * union.cast("long")).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -297,22 +295,30 @@ def allowed_pairs(t: pd.DataFrame, threshold: float, left: np.ndarray | None) ->
     column = np.cumsum(often) - 1
     member = np.zeros((len(sketches), int(often.sum())), np.float32)
     member[row[often[code]], column[code[often[code]]]] = 1
-    common = member @ member.T
-    small, large = np.minimum.outer(n, n), np.maximum.outer(n, n)
-    apart = label[:, None] != label[None, :]
     lower = t["lower"].to_numpy(bool)
-    apart &= ~(lower[:, None] & lower[None, :])  # those meet in the range below
-    if left is not None:
-        apart &= left[:, None] & ~left[None, :]
-    # values of row i up to the last known one of both i and j
     last = np.array([last_value(x) for x in sketches])
-    known = np.stack([np.searchsorted(x, np.minimum(last, own), "right").astype(np.int32) for x, own in zip(sketches, last)])
-    full = (last == 2**32)[:, None] & (last == 2**32)[None, :]
-    share, doubt = estimated(common, known, known.T, full, threshold)
-    test = apart & (small >= (threshold - 1e-9) * large) & (share >= threshold - doubt)
-    a, b = np.nonzero(np.triu(test) if left is None else test)
-    told, share = full[a, b], share[a, b]
-    sure = share >= np.where(told, threshold - 1e-9, threshold + doubt[a, b])
+    a, b, share, told, sure = [], [], [], [], []
+    for first in range(0, len(sketches), ROWS_AT_ONCE):
+        rows = np.arange(first, min(first + ROWS_AT_ONCE, len(sketches)))
+        if left is not None:
+            rows = rows[left[rows]]
+        common = member[rows] @ member.T
+        apart = label[rows][:, None] != label
+        apart &= ~(lower[rows][:, None] & lower)  # those meet in the range below
+        apart &= rows[:, None] < np.arange(len(sketches)) if left is None else ~left
+        apart &= np.minimum.outer(n[rows], n) >= (threshold - 1e-9) * np.maximum.outer(n[rows], n)
+        # values of either side up to the last known one of both
+        mine = np.stack([np.searchsorted(sketches[i], np.minimum(last, last[i]), "right") for i in rows.tolist()]).astype(np.int32) if len(rows) else common
+        theirs = np.stack([np.searchsorted(x, np.minimum(last[rows], own), "right") for x, own in zip(sketches, last)], axis=1).astype(np.int32)
+        full = (last[rows] == 2**32)[:, None] & (last == 2**32)
+        guess, doubt = estimated(common, mine, theirs, full, threshold)
+        i, j = np.nonzero(apart & (guess >= threshold - doubt))
+        a.append(rows[i])
+        b.append(j)
+        share.append(guess[i, j])
+        told.append(full[i, j])
+        sure.append(guess[i, j] >= np.where(full[i, j], threshold - 1e-9, threshold + doubt[i, j]))
+    a, b, share, told, sure = map(np.concatenate, (a, b, share, told, sure))
     # two components need no more than one link: SURE pairs of best estimate where there are such, else all pairs
     found = pd.DataFrame({
         "a": a, "b": b, "open": ~sure, "guess": ~told, "share": -share,

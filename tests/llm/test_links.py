@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +64,16 @@ def variants(seed=2):
     return rows
 
 
+def test_portions_of_a_batch_give_the_same_sets(monkeypatch):
+    r = random.Random(8)
+    texts = [" ".join(r.choice("ABcdefg hij é") for _ in range(r.randint(0, 40))) for _ in range(300)] + [None, "", " \n"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    whole = [x.tolist() for x in neardup.shingle_sets(batch.column("text"), 3)]
+    monkeypatch.setattr(neardup, "BYTES_AT_ONCE", 500)
+    parts = [x.tolist() for rows in neardup.portions([batch]) for x in neardup.shingle_sets(rows.column("text"), 3)]
+    assert parts == whole and [len(x) for x in whole] == [len(s) for _, s in plain_sets(enumerate(texts), 3)]
+
+
 @pytest.mark.parametrize("size, percent", [(3, 85), (5, 80)])
 def test_near_duplicates_as_brute_force(spark, documents, size, percent):
     rows = variants()

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from leadfit.llm import bpe
 from leadfit.llm.bpe import SegmentTreeBpe, decode_documents, encode_documents
 from leadfit.llm.packing import best_two_fit, pack_documents, packed_sequences
 
@@ -59,6 +60,16 @@ def test_long_words(encoder, library):
     check(encoder, library, ["a" * 3000, "ab" * 2000, "".join(r.choice("thanered") for _ in range(5000)), "", "   "])
 
 
+def test_portions_of_a_batch(encoder, library, monkeypatch):
+    texts = [f"text number {k}, of some words É" + " x" * (k % 7) for k in range(200)] + [None, "", "ﬁ"]
+    monkeypatch.setattr(bpe, "BYTES_AT_ONCE", 300)
+    got = []
+    for _, ids, count in bpe.encoded_portions(encoder, [pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]):
+        end = np.cumsum(count)
+        got += [ids[e - n:e].tolist() for e, n in zip(end.tolist(), count.tolist())]
+    assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_encode_documents(spark, odd, nothing, library):
     rows = encode_documents(odd, PATH).collect()
     assert len(rows) == odd.count()
