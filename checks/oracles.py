@@ -144,6 +144,10 @@ O["resolve_links_to_pages"] = "SELECT domain, kind, url FROM crawled WHERE kind
 O["home_page_fallback"] = "SELECT domain, reachable, blocked, error, https FROM site_state"
 O["mx_join_hosts"] = f"SELECT lead_key, email, has_mx FROM stored_all LEFT JOIN mx_hosts ON {host_of('email')} = host"
 O["apply_edits"] = "SELECT lead_key, stage, notes FROM worked"
+O["weight_shares"] = f"""SELECT CAST(r_regionkey AS INT) AS icp_id, k AS key, CAST(CASE k WHEN 'maturity' THEN 20 + 4 * r_regionkey
+WHEN 'upside' THEN 10 - 2 * r_regionkey WHEN 'size' THEN 15 - 2 * r_regionkey ELSE 0 END AS INT) AS weight,
+CAST(floor(weight / 45.0 * 100 + 0.5) AS INT) AS share_percent
+FROM region CROSS JOIN (VALUES {", ".join(f"('{k}')" for k in fv.COMPONENT_LABELS)}) t(k)"""
 O["cross_params"] = "SELECT lead_key, CAST(r_regionkey AS INT) AS icp_id, CAST(r_regionkey * 5 AS INT) AS min_years FROM stored_all, region"
 O["franchise_brand_join"] = f"SELECT ord, name, {first_brand('name')} AS brand FROM leads_raw"
 O["unmatched_site"] = "SELECT lead_key, domain, crawl_error AS error FROM enriched WHERE NOT reachable"

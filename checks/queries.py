@@ -412,6 +412,11 @@ def sweep(i: Inputs) -> DataFrame:
         .cast("map<string,int>").alias("weights"))
 
 
+@query
+def weight_shares(i):
+    return views.weight_shares(sweep(i))
+
+
 @query
 def cross_params(i):
     return scoring.cross_params(imported(i), sweep(i)).select("lead_key", "icp_id", "icp.min_years")
@@ -861,11 +866,13 @@ def store_scores(i):
 def incremental_import_stream(i):
     """Both halves of the lead list and a repeat of the first arrive as files."""
     folder = shared_dir(i.spark, "arrivals")
-    for part in ("before", "after", "before"):
-        raw(i, part).drop("ord").write.mode("append").option("header", True).option("quote", '"') \
-            .option("escape", '"').csv(folder)
+    fields = list(fv.HEADER_ALIASES)
+    heads = [(",", fields), (";", fields[::-1]), ("\t", sorted(fields))]
+    for part, (sep, order) in zip(("before", "after", "before"), heads):
+        raw(i, part).select(*[F.col(f).alias(fv.HEADER_ALIASES[f][0].upper()) for f in order]).write.mode("append") \
+            .option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').csv(folder)
     table = VersionedTable(i.spark, shared_dir(i.spark, "lead-table"))
-    incremental_import(i.spark, folder, list(fv.HEADER_ALIASES), table, shared_dir(i.spark, "stream-state"), DAY) \
+    incremental_import(i.spark, folder, table, shared_dir(i.spark, "stream-state"), DAY) \
         .awaitTermination()
     return table.read().groupBy(F.col("domain").isNotNull().alias("has_domain")).agg(
         F.count(F.lit(1)).alias("leads"), F.count_distinct("domain").alias("domains"))

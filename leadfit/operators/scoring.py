@@ -50,9 +50,3 @@ def rescore_all(leads: DataFrame, params: DataFrame, today: date) -> DataFrame:
     """Scores of every lead under every buy box, from stored signals only: a map-only pass."""
     crossed = cross_params(leads, params)
     return _score(crossed, sc.IcpColumns.from_struct(F.col("icp")), today).drop("icp")
-
-
-def weight_shares(icp: dict | None) -> dict[str, float]:
-    full = sc.merge_icp(icp)["weights"]
-    total = sum(full.values()) or 1
-    return {k: full[k] / total for k in fv.COMPONENT_LABELS}

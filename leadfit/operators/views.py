@@ -107,11 +107,12 @@ def component_rows(leads: DataFrame) -> DataFrame:
     )
 
 
-def weight_share_percent(icp: dict | None) -> dict[str, int]:
-    """Share of each weight in percent, rounded half up."""
-    weights = sc.merge_icp(icp)["weights"]
-    total = sum(weights.values()) or 1
-    return {k: int(weights[k] / total * 100 + 0.5) for k in fv.COMPONENT_LABELS}
+def weight_shares(params: DataFrame) -> DataFrame:
+    """(icp_id, key, weight, share_percent) of each component of each buy box; shares rounded half up."""
+    total = F.aggregate(F.map_values("weights"), F.lit(0), lambda a, w: a + F.coalesce(w, F.lit(0)))
+    rows = params.select("icp_id", F.when(total == 0, 1).otherwise(total).alias("total"), "weights").select(
+        "icp_id", "total", F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.coalesce(F.try_element_at("weights", F.lit(k)), F.lit(0)).alias("weight")) for k in fv.COMPONENT_LABELS])).alias("w"))
+    return rows.select("icp_id", "w.key", "w.weight", F.floor(F.col("w.weight") / F.col("total") * 100 + 0.5).cast("int").alias("share_percent"))
 
 
 def crm_columns(leads: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 
 from leadfit.operators.merging import dedupe_merge, upsert_leads
-from leadfit.sources.lead_files import canonical_rows, normalize_leads, scan_leads_csv
+from leadfit.sources.lead_files import canonical_rows, normalize_leads, scan_lead_files
 from leadfit.sources.tables import VersionedTable
 
 
@@ -25,4 +25,4 @@ def import_rows(table: VersionedTable, raw: DataFrame, batch_id: str, today: dat
 def import_csv(
     spark: SparkSession, table: VersionedTable, path: str, batch_id: str, today: date, icp: dict | None = None
 ) -> DataFrame:
-    return import_rows(table, scan_leads_csv(spark, path), batch_id, today, icp)
+    return import_rows(table, scan_lead_files(spark, path), batch_id, today, icp)

@@ -7,39 +7,33 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StringType, StructField, StructType
 
 from leadfit.plans.importing import import_rows
+from leadfit.sources.lead_files import scan_lead_files
 from leadfit.sources.tables import VersionedTable
 
 
 def incremental_import(
-    spark: SparkSession, folder: str, headers: list[str], table: VersionedTable, checkpoint: str, today: date,
-    sep: str = ",", files_per_batch: int | None = None,
+    spark: SparkSession, folder: str, table: VersionedTable, checkpoint: str, today: date, files_per_batch: int | None = None,
 ) -> StreamingQuery:
     """Every new CSV file in `folder` goes through import and upsert; ends when none is left.
 
-    The upsert makes a file that is delivered twice add nothing, whatever the checkpoint knows.
-    Files that wait together are merged as one batch unless `files_per_batch` says otherwise; each
-    batch writes a new version of the table, so few large batches are cheaper.
+    The stream only says which files are new; each is then read by its own header and delimiter. The
+    upsert makes a file that is delivered twice add nothing, whatever the checkpoint knows. Files
+    that wait together are merged as one batch unless `files_per_batch` says otherwise; each batch
+    writes a new version of the table, so few large batches are cheaper.
     """
-    schema = StructType([StructField(h, StringType()) for h in headers])
-    reader = spark.readStream.schema(schema).option("header", True).option("multiLine", True)
+    reader = spark.readStream
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    files = (
-        reader.option("sep", sep).option("quote", '"').option("escape", '"').csv(folder)
-        .select("*", F.col("_metadata.file_path").alias("_file"))
-    )
+    starts = reader.text(folder).where(F.col("_metadata.file_block_start") == 0).select(F.col("_metadata.file_path").alias("file"))
 
     def upsert(batch: DataFrame, epoch: int) -> None:
-        numbered = batch.select(
-            *headers,
-            F.concat_ws("|", "_file", F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0")).alias("ord"),
-        )
-        import_rows(table, numbered, f"stream-{epoch}", today)
+        files = [r["file"] for r in batch.distinct().orderBy("file").collect()]
+        if files:
+            import_rows(table, scan_lead_files(spark, *files), f"stream-{epoch}", today)
 
     return (
-        files.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
+        starts.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )

@@ -76,14 +76,29 @@ def by_name(df):
 def test_delimiter_and_headers(spark, csv_file):
     assert lead_files.detect_delimiter(spark, csv_file) == ";"
     raw = lead_files.scan_leads_csv(spark, csv_file)
-    mapping, unmapped = lead_files.map_headers([c for c in raw.columns if c != "ord"])
+    headers = [c for c in raw.columns if c != "ord"]
+    mapping = {f: headers[k] for f, k in lead_files.fields_of(headers).items()}
     assert mapping["name"] == "Company" and mapping["employees"] == "Employee Count" and mapping["owner_name"] == "CEO"
-    assert unmapped == ["Head_Count", "Junk"]
-    assert lead_files.map_headers(["Phone", "phone!", "Company size", "size"])[0] == {"employees": "Company size", "phone": "phone!"}
+    assert lead_files.unmapped(headers) == ["Head_Count", "Junk"]
+    assert lead_files.fields_of(["Phone", "phone!", "Company size", "size"]) == {"employees": 2, "phone": 1}
+    assert lead_files.delimiter_of('"Company, Inc; or, name";City;Phone') == ";"
     with pytest.raises(lead_files.NoNameColumn):
         lead_files.canonical_rows(spark.createDataFrame([("a", 1)], "City string, ord long"))
 
 
+def test_files_of_different_layouts(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Company,Website,City\n"Oak, Inc",oak.test,Rome\n')
+    (tmp_path / "b.csv").write_text("City,Company,Website\nPisa,Elm,elm.test\n")
+    (tmp_path / "c.csv").write_text('\n"Web, or url";Company;Town;Company\nx;old;Bari;Fir\n')
+    (tmp_path / "d.csv").write_text("")
+    got = by_name(lead_files.scan_lead_files(spark, str(tmp_path)))
+    assert {n: (r["website"], r["city"]) for n, r in got.items()} == {
+        "Oak, Inc": ("oak.test", "Rome"), "Elm": ("elm.test", "Pisa"), "Fir": (None, "Bari")}
+    (tmp_path / "e.csv").write_text("Town;Phone\nBari;1\n")
+    with pytest.raises(lead_files.NoNameColumn, match="e.csv"):
+        lead_files.scan_lead_files(spark, str(tmp_path))
+
+
 def test_report_and_merge(spark, csv_file):
     rows = lead_files.canonical_rows(lead_files.scan_leads_csv(spark, csv_file))
     norm = lead_files.normalize_leads(rows)
@@ -283,10 +298,11 @@ def test_plans_stay_on_the_jvm(enriched):
 def test_stream_import_is_idempotent(spark, tmp_path):
     folder, table = tmp_path / "in", VersionedTable(spark, str(tmp_path / "t"))
     folder.mkdir()
-    args = (spark, str(folder), ["Company", "URL", "Phone"], table, str(tmp_path / "c"), DAY)
+    args = (spark, str(folder), table, str(tmp_path / "c"), DAY)
     (folder / "a.csv").write_text("Company,URL,Phone\nOak,oak.test,\nElm,elm.test,1\n")
     incremental_import(*args).awaitTermination()
-    (folder / "b.csv").write_text("Company,URL,Phone\nOak LLC,www.oak.test,555-123-4567\nElm,elm.test,1\nFir,,\n")
+    # each file has its own header and delimiter
+    (folder / "b.csv").write_text("Phone;Website;Town;Business Name\n555-123-4567;www.oak.test;;Oak LLC\n1;elm.test;;Elm\n;;;Fir\n")
     incremental_import(*args).awaitTermination()
     (folder / "c.csv").write_text((folder / "b.csv").read_text())
     incremental_import(*args).awaitTermination()
