@@ -114,6 +114,31 @@ FROM l{len(licenses.RULES)}
 
 
 ORACLES: dict[str, str] = {
+    "op8_minhash_near_dedup": """
+WITH RECURSIVE words AS (
+    SELECT row_number() OVER () AS n, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+    FROM documents
+), shingles AS (
+    SELECT DISTINCT n, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS shingle
+    FROM words
+), sizes AS (
+    SELECT words.n, words.doc_id, count(shingle) AS size FROM words LEFT JOIN shingles ON words.n = shingles.n GROUP BY ALL
+), links AS (
+    SELECT a.n AS a, b.n AS b
+    FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.n <> b.n
+    JOIN sizes x ON x.n = a.n JOIN sizes y ON y.n = b.n
+    WHERE x.doc_id IS NOT NULL AND y.doc_id IS NOT NULL
+    GROUP BY a.n, b.n, x.size, y.size HAVING 100 * count(*) >= 85 * (x.size + y.size - count(*))
+), reach AS (
+    SELECT n AS a, n AS b FROM words UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), smallest AS (
+    SELECT reach.a AS n, min(sizes.doc_id) AS component_id FROM reach JOIN sizes ON sizes.n = reach.b GROUP BY reach.a
+)
+SELECT doc_id, size AS n_shingles, component_id, coalesce(doc_id = component_id, true) AS kept
+FROM sizes JOIN smallest ON sizes.n = smallest.n
+""",
     "op4_license_scans": _licence_sql(),
     "op7_exact_top_k": """
 WITH vectors AS (
