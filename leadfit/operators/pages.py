@@ -51,7 +51,7 @@ def urls_to_refetch(needed: DataFrame, fetches: DataFrame, as_of: datetime) -> D
 
 
 def clean_fetches(fetches: DataFrame) -> DataFrame:
-    """Adds `blocked` and `ok`; bodies of other content types are emptied and long ones cut."""
+    """Adds `blocked` and `ok`; bodies of other content types are emptied."""
     content_type = F.col("content_type") if "content_type" in fetches.columns else F.lit(None).cast("string")
     cut = fetches.withColumn("html", ht.html_only(F.coalesce("html", F.lit("")), content_type))
     flagged = cut.withColumn("blocked", ht.is_blocked(F.col("status"), F.col("html")))
@@ -258,11 +258,13 @@ def discovered_links(homes: DataFrame) -> DataFrame:
 def resolve_links_to_pages(links: DataFrame, findings: DataFrame) -> DataFrame:
     """Discovered links with the findings of the fetched page behind them; usable pages only.
 
-    Joined on the page, not the site, so a large site spreads over the shuffle.
+    Joined on the page, not the site, so a large site spreads over the shuffle. Pages that no link
+    names are dropped before the findings are aggregated.
     """
     cols = ["final_url", *FINDINGS]
+    named = findings.where("ok").join(links.select("url_key"), "url_key", "left_semi")
     per_page = (
-        findings.where("ok").groupBy("url_key")
+        named.groupBy("url_key")
         .agg(F.min_by(F.struct(*cols), F.struct(~F.col("asked_https"), F.col("url"))).alias("p"))
     )
     return (

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leadfit.operators import facets
 from leadfit.operators.pages import store_fetches
 from leadfit.operators.views import crm_columns, lead_detail, lead_view, sort_leads
+from leadfit.sources.tables import materialize
 
 
 def crm_export(leads: DataFrame) -> DataFrame:
@@ -33,6 +34,7 @@ def snapshot_rows(leads: DataFrame) -> DataFrame:
 
 def write_snapshot_json(leads: DataFrame, params: DataFrame, path: str) -> None:
     """leads/, details/ and raw_industries/ as JSON lines, stats/ and settings/ as one document each."""
+    leads = materialize(leads, "snapshot-leads")  # read five times
     lead_view(sort_leads(leads)).write.json(f"{path}/leads")
     lead_detail(leads).write.json(f"{path}/details")
     leads.select("lead_key", "industry").write.option("ignoreNullFields", False).json(f"{path}/raw_industries")
