@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +26,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def with_package(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """query(spark, ...), after telling Python workers where this package lies, for sessions started without it on their
+    path. On a cluster the package is installed or sent with --py-files; the path then points to nothing and is passed over."""
+    @wraps(query)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+        return query(spark, *args)
+
+    return run
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet into the shared folder and read again: cuts the lineage and outlives lost executors."""
     spark = df.sparkSession

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadfit.llm import bpe, html, licenses, neardup, packing, quality, rules, topk, toxicity, urls
-from leadfit.llm.common import id_remainder, table
+from leadfit.llm.common import id_remainder, table, with_package
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -75,8 +75,8 @@ def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "pipeline": corpus_pipeline.run,
-    **{f.__name__: f for f in (
+    "pipeline": with_package(corpus_pipeline.run),
+    **{f.__name__: with_package(f) for f in (
         op1_best_fit_packing, op2_quality_classifier, op3_bpe_encoding, op4_license_scans, op5_toxicity, op6_quality_rules, op7_exact_top_k, op8_minhash_near_dedup,
         op9_html_extraction, op10_url_filters,
     )},
