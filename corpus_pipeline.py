@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leadfit.llm.common import table, written
+from leadfit.llm.common import table, with_package, written
 from leadfit.llm.neardup import keep_one_of_each
 from leadfit.llm.packing import pack_documents
 from leadfit.llm.quality import fit_quality, keep_quality
@@ -34,7 +34,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
-STAGES = [("quality_classifier", quality), ("toxicity", toxicity), ("minhash_near_dedup", near_dedup), ("best_fit_packing", pack)]
+STAGES = [(name, with_package(stage)) for name, stage in (
+    ("quality_classifier", quality), ("toxicity", toxicity), ("minhash_near_dedup", near_dedup), ("best_fit_packing", pack),
+)]
 
 ORACLE_SQL = None  # scores of compressors, sketches and tokenizers have no SQL form; tests/llm checks run() by brute force
 
