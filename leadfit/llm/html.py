@@ -249,18 +249,22 @@ def fit_trees(table: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Trees:
 
 
 def named_other(nodes: list[Node], share: np.ndarray) -> np.ndarray:
-    """Nodes whose tag or names say that they are not the article, and that hold no article. A form around most of the
-    page is its frame, not a part of it."""
-    holds = np.zeros(len(nodes), bool)
+    """Nodes whose tag or names say that they are not the article.
+
+    Not so a nav, header, footer or aside that holds an article or main element; nor a named node that holds one, or a node
+    with a name of articles, or that has such a name itself; nor a form that holds either or most of the page.
+    """
+    tagged, named = np.zeros(len(nodes), bool), np.zeros(len(nodes), bool)
     for i in range(len(nodes) - 1, 0, -1):
-        if holds[i] or nodes[i].tag in ("article", "main") or nodes[i].words & ARTICLE_WORDS:
-            holds[nodes[i].parent] = True
-    return np.array([
-        node.tag in NEVER
-        or (node.tag in OTHER_TAGS and not (h or (node.tag == "form" and s > 0.6)))
-        or (bool(node.words & OTHER_WORDS) and not (h or node.words & ARTICLE_WORDS or node.tag in ("article", "main", "body", "html")))
-        for node, h, s in zip(nodes, holds.tolist(), share.tolist())
-    ])
+        node = nodes[i]
+        tagged[node.parent] |= tagged[i] or node.tag in ("article", "main")
+        named[node.parent] |= named[i] or bool(node.words & ARTICLE_WORDS and not node.words & OTHER_WORDS and node.tag not in OTHER_TAGS)
+    out = []
+    for node, t, n, s in zip(nodes, tagged.tolist(), named.tolist(), share.tolist()):
+        by_tag = node.tag in OTHER_TAGS and not t and not (node.tag == "form" and (n or s > 0.6))
+        frame = t or n or node.words & ARTICLE_WORDS or node.tag in ("article", "main", "body", "html")
+        out.append(node.tag in NEVER or by_tag or bool(node.words & OTHER_WORDS and not frame))
+    return np.array(out, bool)
 
 
 def decode(nodes: list[Node], logits: np.ndarray, other: np.ndarray) -> np.ndarray:

@@ -179,7 +179,7 @@ PAGE = """<html><head><title>T</title><script>var a="<p>no</p>";</script></head>
 <div id="content"><h1>Rivers &amp; hills</h1><p>First   paragraph
 of <b>bold</b> text &mdash; long enough.<p>Second one with <a href=x>a link</a> inside.<ul><li>one<li>two</ul>
 <div class="share-buttons">Share</div><!-- <p>hidden</p> --></div>
-<aside>Side</aside><section id="comments"><p>I like it.</p></section><form><p>Name</p><input></form><footer>foot</footer></body></html>"""
+<aside><div class="text">Side</div></aside><section id="comments"><p>I like it.</p></section><form><p>Name</p><input></form><footer><div class="footer-content">foot</div></footer></body></html>"""
 
 
 def test_page_parts(spark):
