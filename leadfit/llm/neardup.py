@@ -256,16 +256,26 @@ def unresolved_pairs(lists: DataFrame, nodes: DataFrame, labels: DataFrame, thre
     rows = dealt.join(nodes.select("node", "n", "sketch"), "node")
 
     def run(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
+        value_key, i, j = key
         t = t.sort_values("node", ignore_index=True)
         a, b = allowed_pairs(t, threshold, None if i == j else (t["block"] == i).to_numpy())
+        # of the lists that a pair shares only that of its smallest common value passes it on
+        values = [np.frombuffer(x, "<u4") for x in t["sketch"]]
+        smallest = np.array([np.intersect1d(values[p], values[q], assume_unique=True)[:1] for p, q in zip(a.tolist(), b.tolist())], np.uint64).reshape(-1)
+        span = size_range(t["n"].to_numpy(), threshold)
+        own = combined([smallest, np.maximum(span[a], span[b])]).view(np.int64) == value_key
         node = t["node"].to_numpy()
-        return pd.DataFrame({"a": node[a], "b": node[b]})
+        return pd.DataFrame({"a": node[a[own]], "b": node[b[own]]})
 
     pairs = rows.groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(few).distinct()
 
 
+def size_range(n: np.ndarray, threshold: float) -> np.ndarray:
+    """Ranges of sizes so wide that similar sets lie in the same or in neighbouring ones."""
+    return np.floor(np.log(n) / -np.log(threshold - 1e-6)).astype(np.uint64)
+
+
 def _small_values(nodes: DataFrame, threshold: float) -> DataFrame:
     """(key, node, label, lower): a key for each of the FEW smallest values of a node and each of two neighbouring ranges
     of sizes, the node's own and the one above (lower: the node is from the range below that of the key)."""
@@ -274,7 +284,7 @@ def _small_values(nodes: DataFrame, threshold: float) -> DataFrame:
             values = [np.frombuffer(s, "<u4")[:FEW].astype(np.uint64) for s in t.column("sketch").to_pylist()]
             count = np.array([len(v) for v in values], np.int64)
             value = np.concatenate(values) if values else np.zeros(0, np.uint64)
-            span = np.floor(np.log(t.column("n").to_numpy()) / -np.log(threshold - 1e-6)).astype(np.uint64)
+            span = size_range(t.column("n").to_numpy(), threshold)
             span = np.repeat(span, count)
             key = np.concatenate([combined([value, span]), combined([value, span + np.uint64(1)])])
             node, label = (np.tile(np.repeat(t.column(c).to_numpy(), count), 2) for c in ("node", "label"))
