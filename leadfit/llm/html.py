@@ -39,6 +39,8 @@ OTHER_WORDS = frozenset(
     "replies disqus cookie cookies consent notice alert gdpr popup modal overlay newsletter subscribe signup login form "
     "search pagination pager toolbar skip hidden copyright legal tags".split())
 OTHER_TAGS = frozenset("nav header footer aside form script style button select input textarea noscript template iframe head title dialog menu svg canvas object".split())
+TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())  # like inline elements, never left out for their names alone
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NEVER = frozenset("script style noscript template iframe head title textarea xmp noembed noframes svg canvas object math".split())
 
 TAGS = "article main section div p h1 h2 h3 h4 ul ol li table blockquote pre figure header footer nav aside form script style head title span a b other".split()
@@ -162,14 +164,14 @@ def features(nodes: list[Node]) -> np.ndarray:
     return table
 
 
-def seed_labels(nodes: list[Node]) -> np.ndarray:
-    """1 inside a node that names itself an article, 0 inside one that names itself something else, the nearest such
-    ancestor or the node itself counting; -1 where no name tells. Elements around an article are part of its way: 1."""
+def seed_labels(nodes: list[Node], other: np.ndarray) -> np.ndarray:
+    """1 inside a node that names itself an article, 0 inside one of `other`, the nearest such ancestor or the node itself
+    counting; -1 where no name tells. Elements around an article are part of its way: 1."""
     n = len(nodes)
     out = np.full(n, -1)
     for i, node in enumerate(nodes):
         p = node.parent
-        if node.tag in NEVER or node.tag in OTHER_TAGS or node.words & OTHER_WORDS:
+        if other[i]:
             out[i] = 0
         elif p >= 0 and out[p] == 0:
             out[i] = 0
@@ -249,21 +251,29 @@ def fit_trees(table: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Trees:
 
 
 def named_other(nodes: list[Node], share: np.ndarray) -> np.ndarray:
-    """Nodes whose tag or names say that they are not the article.
+    """Nodes that hold no text to read, and blocks whose tag or names say that they are not the article.
 
-    Not so a nav, header, footer or aside that holds an article or main element; nor a named node that holds one, or a node
-    with a name of articles, or that has such a name itself; nor a form that holds either or most of the page.
+    Left to the trees, whatever their names: inline elements, paragraphs and headings; a node that holds most of the
+    page's text; the header of an article or main element that holds a heading; a nav, header, footer or aside that holds
+    an article or main element; a named node that holds one, or a node with a name of articles, or that has such a name
+    itself; a form that holds either.
     """
-    tagged, named = np.zeros(len(nodes), bool), np.zeros(len(nodes), bool)
-    for i in range(len(nodes) - 1, 0, -1):
+    n = len(nodes)
+    tagged, named, headed, inside = (np.zeros(n, bool) for _ in range(4))
+    for i in range(n - 1, 0, -1):
         node = nodes[i]
         tagged[node.parent] |= tagged[i] or node.tag in ("article", "main")
         named[node.parent] |= named[i] or bool(node.words & ARTICLE_WORDS and not node.words & OTHER_WORDS and node.tag not in OTHER_TAGS)
+        headed[node.parent] |= headed[i] or node.tag in HEADINGS
+    for i in range(1, n):
+        p = nodes[i].parent
+        inside[i] = nodes[p].tag in ("article", "main") or inside[p] and nodes[p].tag not in OTHER_TAGS
     out = []
-    for node, t, n, s in zip(nodes, tagged.tolist(), named.tolist(), share.tolist()):
-        by_tag = node.tag in OTHER_TAGS and not t and not (node.tag == "form" and (n or s > 0.6))
-        frame = t or n or node.words & ARTICLE_WORDS or node.tag in ("article", "main", "body", "html")
-        out.append(node.tag in NEVER or by_tag or bool(node.words & OTHER_WORDS and not frame))
+    for node, t, a, h, within, s in zip(nodes, tagged.tolist(), named.tolist(), headed.tolist(), inside.tolist(), share.tolist()):
+        free = node.tag in INLINE or node.tag in TEXT_BLOCKS or s > 0.5 or within and h and (node.tag == "header" or "header" in node.words)
+        by_tag = node.tag in OTHER_TAGS and not t and not (node.tag == "form" and a)
+        frame = t or a or node.words & ARTICLE_WORDS or node.tag in ("article", "main", "body", "html")
+        out.append(node.tag in NEVER or not free and (by_tag or bool(node.words & OTHER_WORDS and not frame)))
     return np.array(out, bool)
 
 
@@ -330,8 +340,8 @@ def fit_extractor(pages: DataFrame, most: int = SAMPLE_PAGES) -> Trees | None:
             out = []
             for page_id, page in zip(t["page_id"], t["html"]):
                 nodes = parse(page)
-                y = seed_labels(nodes)
                 x = features(nodes)
+                y = seed_labels(nodes, named_other(nodes, x[:, NUMBERS.index("share_of_page")]))
                 told = np.flatnonzero(y >= 0)
                 told = told[np.linspace(0, len(told) - 1, min(len(told), NODES_OF_A_PAGE)).astype(int)] if len(told) else told
                 x, y = x[told], y[told]
@@ -363,7 +373,7 @@ def extract(page: str | None, trees: Trees | None) -> str:
     nodes = parse(page)
     table = features(nodes)
     other = named_other(nodes, table[:, NUMBERS.index("share_of_page")])
-    logits = trees.logits(table.astype(np.float32)) if trees is not None else np.where(seed_labels(nodes) == 0, -1.0, 1.0)
+    logits = trees.logits(table.astype(np.float32)) if trees is not None else np.where(seed_labels(nodes, other) == 0, -1.0, 1.0)
     return text_of(nodes, decode(nodes, logits, other))
 
 

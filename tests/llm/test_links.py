@@ -189,6 +189,25 @@ def test_page_parts(spark):
     assert text.startswith("Rivers & hills\nFirst paragraph of bold text — long enough.\nSecond one with a link inside.")
 
 
+@pytest.mark.parametrize("given", [True, False])
+def test_names_do_not_force_out_text(spark, given):
+    trees = html.fit_extractor(spark.read.parquet(f"{SMALL}/pages.parquet")) if given else None
+    words = "A long sentence about rivers and hills, told at some length for all to read. " * 4
+    top, end = "<html><head><title>T</title></head><body><nav><ul><li><a href=/>Home</a></ul></nav>", "<footer>foot</footer></body></html>"
+    wrapped = html.extract(f'{top}<div class="page no-sidebar"><p>{words}</p><p>{words}</p><div class="share-buttons">Share</div></div>{end}', trees)
+    assert wrapped.startswith("\n".join([words.strip()] * 2)) and not re.search("Home|Share", wrapped)
+    inline = html.extract(f'{top}<article><p>{words} see <a class="related" href=x>this</a> and <em class="notice">that</em>.</p><p class="legal">{words}</p></article>{end}', trees)
+    assert inline == f"{words}see this and that.\n{words.strip()}"
+
+
+def test_headings_are_left_to_the_trees():
+    page = '<body><header><h1>Site</h1></header><article><header><h1>Own</h1></header><h2 class="page-header">Next</h2><p>Text.</p><footer>foot</footer></article></body>'
+    nodes = html.parse(page)
+    other = html.named_other(nodes, html.features(nodes)[:, html.NUMBERS.index("share_of_page")])
+    assert [n.tag for n, o in zip(nodes, other) if o] == ["header", "footer"]
+    assert html.extract(page, None) == "Own\nNext\nText."
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>x"), (4, "u", "<" * 5000), (5, "u", "<div>" * 3000 + "deep"), (6, "u", "no markup at all"), (6, "u", "no markup at all"), (7, "u", "<article><p>a&nbsp;b&#33;</article>")]
     df = spark.createDataFrame([(*r, "t", 1) for r in rows], "page_id long, url string, html string, text string, n_chars int")
