@@ -1,7 +1,7 @@
 """Licence scans by sentence rules: known sentences become identifiers, sequences of identifiers become licences.
 
-A text is cut into sentences, each sentence is brought to a normal form and looked up among the known forms; what is
-found, in order, is a sequence of identifiers. Ordered rules name the sequences that make a licence; each rule takes its
+A text is brought to a normal form and searched for the known sentences, each on one line or wrapped over several, also
+behind comment marks; what is found, in order, is a sequence of identifiers. Ordered rules name the sequences that make a licence; each rule takes its
 sequences out before the next one looks, so a long licence isn't also counted by one of its sentences. All of it is one
 expression over the text.
 """
@@ -78,18 +78,31 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 )
 
 # each known sentence holds one of these, so a text without them needs no sentences
-TRIGGERS = "licens|permission|redistribut|warrant|copyright|public domain|gpl|apache|rights reserved|free software|cc0"
-# a sentence ends at a line break or at . ! ? ; : before white space or the end
-SENTENCE_END = r"[.!?;:]+(?=\s|$)|[\r\n]+"
+TRIGGERS = "licens|permission|redistribut|warrant|copyright|public[^a-z0-9]++domain|gpl|apache|rights[^a-z0-9]++reserved|free[^a-z0-9]++software|cc0"
+# one break of a line, with blanks and comment marks at the start of the next one
+LINE = r"(?:^|\r\n|\r|\n)[^a-z0-9+.\r\n]*+(?:\.\\\"[^a-z0-9+.\r\n]*+)?"
+# steps to the normal form: \x01 stands where a sentence must end (blank lines, . ! ? before white space or the end), \n
+# where it may end or go on (single line breaks, ; and : before white space or the end)
+STEPS = (
+    (LINE, "\n"), (r"\n{2,}+", "\x01"), (r"(?<![.!?;:])[;:]++(?=[\s\x01]|$)", "\n"), (r"(?<![.!?;:])[.!?;:]++(?=[\s\x01]|$)", "\x01"),
+    (r"[^a-z0-9+.\n\x01]+", " "), (r" ?\n[ \n]*+", "\n"), (r"[ \n]?\x01[ \n\x01]*+", "\x01"),
+)
 
 
 def identifiers(text: Column) -> Column:
-    """Identifiers of the known sentences of a text, in order; an empty array where there is none."""
+    """Identifiers of the known sentences of a text, in order; an empty array where there is none.
+
+    A sentence begins and ends at a line break, at . ! ? ; : before white space, or with the text. Single line breaks, and
+    ; or : inside it, count as blanks; of sentences that begin at one place the longest is taken.
+    """
     known = {s: name for name, forms in SENTENCES.items() for s in forms}
     table = F.create_map(*(F.lit(x) for pair in sorted(known.items()) for x in pair))
-    sentences = F.transform(
-        F.split(F.lower(text), SENTENCE_END), lambda s: F.trim(F.regexp_replace(s, r"[^a-z0-9+.]+", " ")))
-    found = F.filter(F.transform(sentences, lambda s: F.try_element_at(table, s)), lambda x: x.isNotNull())
+    forms = "|".join(s.replace(".", r"\.").replace("+", r"\+").replace(" ", r"[ \n]") for s in sorted(known, key=lambda s: (-len(s), s)))
+    line = F.translate(F.lower(text), "\x01", "\x02")
+    for pattern, to in STEPS:
+        line = F.regexp_replace(line, pattern, to)
+    hits = F.regexp_extract_all(F.trim(line), F.lit(rf"(?<![^\n\x01])(?:{forms})(?![^\n\x01])"), F.lit(0))
+    found = F.transform(hits, lambda s: F.try_element_at(table, F.translate(s, "\n", " ")))
     none = F.array().cast("array<string>")
     return F.when(F.coalesce(F.lower(text).rlike(TRIGGERS), F.lit(False)), found).otherwise(none)
 

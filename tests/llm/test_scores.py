@@ -170,3 +170,67 @@ def test_licences(spark, odd, nothing, documents):
     ids = spark.createDataFrame([(["MITref", "MITref", "Rights"],)], "ids array<string>")
     found, rest = applied(F.col("ids"), RULES)
     assert ids.select(found, rest).first() == (["MIT"], ["Rights"])
+
+
+MIT = """The MIT License (MIT)
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL ..."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+BSD = """Copyright (c) 2020, Someone. All rights
+reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", ";; ", "// ", '.\\" '])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_wrapped_licences(documents, mark, end):
+    want = {
+        1: (MIT, ["MITref", "MITgrant", "MITnotice", "MITwarranty"], ["MIT"], []),
+        2: (APACHE, ["Apache2ref", "Apache2comply", "Apache2copy", "Apache2warranty"], ["Apache-2.0"], []),
+        3: (BSD, ["Rights", "BSDredistribute", "BSDsource", "BSDbinary"], ["BSD-2-Clause"], ["Rights"]),
+        4: (GPL, ["GPLgrant3+", "GPLwarranty"], ["GPL-3.0-or-later"], []),
+        5: ("This work is dedicated to the public\ndomain.", ["CC0ref"], ["CC0-1.0"], []),
+        6: ("Some title\nMIT License\nmore", ["MITref"], ["MIT"], []),
+        7: ("licensed under the\n\nMIT licence. Licensed under. The BSD 2-Clause license", [], [], []),
+    }
+    rows = scan_licences(documents([(i, end.join((mark + x).rstrip() for x in w[0].split("\n"))) for i, w in want.items()])).collect()
+    assert {r["doc_id"]: ([*r["sentence_ids"]], [*r["licences"]], [*r["unmatched"]]) for r in rows} == {i: w[1:] for i, w in want.items()}
