@@ -85,10 +85,11 @@ BLOCK_SCHEMA = "ids binary, width int, cells binary, size int, longest double"
 
 
 def blocks_of(rows: DataFrame, per_block: int) -> DataFrame:
-    """(part, at, ids, width, cells, size, longest): vectors in order of descending length, per_block to a row."""
+    """(part, at, ids, width, cells, size, longest): vectors in order of descending length, per_block to a row; equal rows
+    count once."""
     lengths = rows.withColumn("length", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e.cast("double") * e.cast("double"))))
     tasks = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ordered = lengths.repartitionByRange(int(tasks), F.desc("length"), F.col("id")).sortWithinPartitions(F.desc("length"), "id")
+    ordered = lengths.repartitionByRange(int(tasks), F.desc("length"), F.col("id")).sortWithinPartitions(F.desc("length"), "id", "v")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -96,8 +97,14 @@ def blocks_of(rows: DataFrame, per_block: int) -> DataFrame:
         def block(t: pd.DataFrame) -> dict:
             return packed(list(t["v"]), t["id"].to_numpy()) | {"longest": float(t["length"].iloc[0])}
 
+        last: tuple[int, np.ndarray] | None = None
         for t in batches:
-            held.append(t)
+            ids, v = t["id"].tolist(), list(t["v"])
+            new = np.ones(len(t), bool)
+            for i, now in enumerate(zip(ids, v)):
+                new[i] = last is None or now[0] != last[0] or not np.array_equal(now[1], last[1])
+                last = now
+            held.append(t[new])
             while sum(map(len, held)) >= per_block:
                 t = pd.concat(held, ignore_index=True)
                 yield pd.DataFrame([block(t[:per_block])])
@@ -110,10 +117,20 @@ def blocks_of(rows: DataFrame, per_block: int) -> DataFrame:
     return written(made.withColumn("block", F.monotonically_increasing_id()), "blocks")
 
 
+def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best (id, score), the smaller id first among equal scores; equal pairs count once."""
+    order = np.lexsort((ids, -scores))
+    i, s = ids[order], scores[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (i[1:] != i[:-1]) | (s[1:] != s[:-1])
+    return order[new][:k]
+
+
 def top_of_block(
     q: np.ndarray, q_ids: np.ndarray, least: np.ndarray, c: np.ndarray, c_ids: np.ndarray, turn: np.ndarray, k: int,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of q, id, score) of the k best candidates of one block for each query, without its own row.
+    """(row of q, id, score) of the k best candidates of one block for each query, without its own row; equal (id, score)
+    count once.
 
     least is a score that the query's k-th best is known to reach. Candidates lie in order of descending length.
     """
@@ -142,13 +159,15 @@ def top_of_block(
         if len(open_) > 8 * k:
             # the k candidates of best bound give a bar of their own
             first = open_[np.argpartition(-bound[open_], 2 * k)[:2 * k + 1]]
-            got = exact_scores(wide_c[first], wide_q[r], exact_floats)[c_ids[first] != q_ids[r]]
-            if len(got) >= k:
-                bar = max(bar, float(np.sort(got)[-k]))
+            first = first[c_ids[first] != q_ids[r]]
+            got = exact_scores(wide_c[first], wide_q[r], exact_floats)
+            top = best_of(c_ids[first], got, k)
+            if len(top) == k:
+                bar = max(bar, float(got[top[-1]]))
                 open_ = open_[bound[open_] >= bar - slack]
         open_ = open_[c_ids[open_] != q_ids[r]]
         score = exact_scores(wide_c[open_], wide_q[r], exact_floats)
-        best = np.lexsort((c_ids[open_], -score))[:k]
+        best = best_of(c_ids[open_], score, k)
         rows.append(np.full(len(best), r))
         ids.append(c_ids[open_[best]])
         scores.append(score[best])

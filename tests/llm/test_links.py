@@ -155,6 +155,24 @@ def test_top_products_as_brute_force(spark):
         topk.CANDIDATES_IN_BLOCK, topk.QUERIES_IN_BLOCK = before
 
 
+def test_repeated_rows_take_one_place(spark):
+    r = random.Random(8)
+    rows = [(i, [r.gauss(0, 1) for _ in range(6)]) for i in range(120) if i not in (10, 20)]
+    rows += [(i, [30.0 + i] * 6) for i in (7, 8) for _ in range(30)]  # one vector of one id, far more than k times
+    rows += [(9, [40.0, 40.0, *(float(j == k) for j in range(4))]) for k in range(4) for _ in range(12)]  # one id, several vectors
+    rows += [(10, [0.0] * 6)] * 40 + [(20, [50.0, -50.0] * 3)] * 12
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for per_block in (16, 4096):
+        before = topk.CANDIDATES_IN_BLOCK, topk.QUERIES_IN_BLOCK
+        topk.CANDIDATES_IN_BLOCK, topk.QUERIES_IN_BLOCK = per_block, 4
+        try:
+            assert search(df, 5, 10) == plain_top(rows, 5, 10)
+        finally:
+            topk.CANDIDATES_IN_BLOCK, topk.QUERIES_IN_BLOCK = before
+    few = [(0, [1.0, 1.0]), *[(1, [9.0, 9.0])] * 8, (2, [1.0, 2.0])]
+    assert search(spark.createDataFrame(few, "vec_id long, embedding array<double>")) == plain_top(few, 5, 50)
+
+
 def test_few_and_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 4.0])], "vec_id long, embedding array<float>")
     assert search(df) == plain_top([(0, [1.0, 2.0]), (1, [3.0, 4.0])], 5, 50)
