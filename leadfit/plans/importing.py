@@ -23,6 +23,8 @@ def import_rows(table: VersionedTable, raw: DataFrame, batch_id: str, today: dat
 
 
 def import_csv(
-    spark: SparkSession, table: VersionedTable, path: str, batch_id: str, today: date, icp: dict | None = None
+    spark: SparkSession, table: VersionedTable, path: str, batch_id: str, today: date, icp: dict | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
-    return import_rows(table, scan_lead_files(spark, path), batch_id, today, icp)
+    """Files without quoted line breaks scan in splits with multi_line=False."""
+    return import_rows(table, scan_lead_files(spark, path, multi_line=multi_line), batch_id, today, icp)

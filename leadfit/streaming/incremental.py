@@ -15,13 +15,15 @@ from leadfit.sources.tables import VersionedTable
 
 def incremental_import(
     spark: SparkSession, folder: str, table: VersionedTable, checkpoint: str, today: date, files_per_batch: int | None = None,
+    multi_line: bool = True,
 ) -> StreamingQuery:
     """Every new CSV file in `folder` goes through import and upsert; ends when none is left.
 
     The stream only says which files are new; each is then read by its own header and delimiter. The
     upsert makes a file that is delivered twice add nothing, whatever the checkpoint knows. Files
     that wait together are merged as one batch unless `files_per_batch` says otherwise; each batch
-    writes a new version of the table, so few large batches are cheaper.
+    writes a new version of the table, so few large batches are cheaper. Files without
+    quoted line breaks scan in splits with `multi_line=False`.
     """
     reader = spark.readStream
     if files_per_batch:
@@ -31,7 +33,7 @@ def incremental_import(
     def upsert(batch: DataFrame, epoch: int) -> None:
         files = [r["file"] for r in batch.distinct().orderBy("file").collect()]
         if files:
-            import_rows(table, scan_lead_files(spark, *files), f"stream-{epoch}", today)
+            import_rows(table, scan_lead_files(spark, *files, multi_line=multi_line), f"stream-{epoch}", today)
 
     return (
         starts.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)

@@ -308,3 +308,15 @@ def test_stream_import_is_idempotent(spark, tmp_path):
     incremental_import(*args).awaitTermination()
     got = by_name(table.read())
     assert set(got) == {"Oak", "Elm", "Fir"} and got["Oak"]["phone"] == "555-123-4567"
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_plans_hand_on_multi_line(spark, tmp_path, multi_line):
+    folder, table = tmp_path / "in", VersionedTable(spark, str(tmp_path / "t"))
+    folder.mkdir()
+    (folder / "a.csv").write_text('Company,Town\n"Oak\ngrove",Kiel\n')
+    incremental_import(spark, str(folder), table, str(tmp_path / "c"), DAY, multi_line=multi_line).awaitTermination()
+    one = import_csv(spark, VersionedTable(spark, str(tmp_path / "u")), str(folder / "a.csv"), "b1", DAY, multi_line=multi_line)
+    # read line by line, the break ends the row
+    assert set(by_name(table.read())) == set(by_name(one))
+    assert len(by_name(one)) == (1 if multi_line else 2)
