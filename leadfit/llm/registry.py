@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadfit.llm import bpe, html, licenses, neardup, packing, quality, rules, topk, toxicity, urls
+from leadfit.llm import bpe, html, licenses, neardup, packing, quality, rules, simhash, topk, toxicity, urls
 from leadfit.llm.common import id_remainder, table, with_package
 
 TOKENIZER = "word_bpe_49k.json"
@@ -74,11 +74,15 @@ def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge_urls(pages, URL_RULES, urls.fit_urls(pages))
 
 
+def op11_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.fuzzy_duplicates(table(spark, folder, "documents"), words=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": with_package(corpus_pipeline.run),
     **{f.__name__: with_package(f) for f in (
         op1_best_fit_packing, op2_quality_classifier, op3_bpe_encoding, op4_license_scans, op5_toxicity, op6_quality_rules, op7_exact_top_k, op8_minhash_near_dedup,
-        op9_html_extraction, op10_url_filters,
+        op9_html_extraction, op10_url_filters, op11_simhash_near_dedup,
     )},
 }
 
