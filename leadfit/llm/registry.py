@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadfit.llm import bpe, html, licenses, neardup, packing, quality, rules, simhash, topk, toxicity, urls
+from leadfit.llm import bpe, conversations, html, licenses, neardup, packing, quality, rules, simhash, topk, toxicity, urls
 from leadfit.llm.common import id_remainder, table, with_package
 
 TOKENIZER = "word_bpe_49k.json"
@@ -78,11 +78,17 @@ def op11_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.fuzzy_duplicates(table(spark, folder, "documents"), words=4)
 
 
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    given = table(spark, folder, "conversations")
+    repaired = conversations.repair_conversations(conversations.damaged(given), given)
+    return repaired.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": with_package(corpus_pipeline.run),
     **{f.__name__: with_package(f) for f in (
         op1_best_fit_packing, op2_quality_classifier, op3_bpe_encoding, op4_license_scans, op5_toxicity, op6_quality_rules, op7_exact_top_k, op8_minhash_near_dedup,
-        op9_html_extraction, op10_url_filters, op11_simhash_near_dedup,
+        op9_html_extraction, op10_url_filters, op11_simhash_near_dedup, op12_conversation_repair,
     )},
 }
 
