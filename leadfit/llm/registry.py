@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadfit.llm import bpe, conversations, html, licenses, neardup, packing, quality, rules, simhash, topk, toxicity, urls
+from leadfit.llm import bpe, collocations, conversations, html, licenses, neardup, packing, quality, rules, simhash, topk, toxicity, urls
 from leadfit.llm.common import id_remainder, table, with_package
 
 TOKENIZER = "word_bpe_49k.json"
@@ -84,11 +84,16 @@ def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return repaired.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
 
 
+def op13_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"), least=10, share=50, top=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": with_package(corpus_pipeline.run),
     **{f.__name__: with_package(f) for f in (
         op1_best_fit_packing, op2_quality_classifier, op3_bpe_encoding, op4_license_scans, op5_toxicity, op6_quality_rules, op7_exact_top_k, op8_minhash_near_dedup,
         op9_html_extraction, op10_url_filters, op11_simhash_near_dedup, op12_conversation_repair,
+        op13_phrase_collocations,
     )},
 }
 
@@ -124,6 +129,43 @@ FROM l{len(licenses.RULES)}
 
 
 ORACLES: dict[str, str] = {
+    "op13_phrase_collocations": """
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+    FROM documents
+), words AS (
+    SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces
+), places AS (
+    SELECT lang, unnest(list_transform(range(1, len(w) + 1), lambda i: {'x': w[i], 'y': w[i + 1], 'z': w[i + 2]})) AS p FROM words
+), ones AS (
+    SELECT lang, p.x AS x, count(*) AS f FROM places GROUP BY ALL
+), twos AS (
+    SELECT lang, p.x AS x, p.y AS y, count(*) AS f FROM places WHERE p.y IS NOT NULL GROUP BY ALL
+), threes AS (
+    SELECT lang, p.x AS x, p.y AS y, p.z AS z, count(*) AS f FROM places WHERE p.z IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+), longer AS (
+    SELECT lang, x, y, max(f) AS longest FROM (SELECT lang, x, y, f FROM threes UNION ALL SELECT lang, y, z, f FROM threes) GROUP BY ALL
+), cut AS (
+    SELECT lang, x || ' ' || y AS phrase, twos.f AS a, a.f AS l, b.f AS r, 1 AS k
+    FROM twos JOIN ones a USING (lang, x) JOIN (SELECT lang, x AS y, f FROM ones) b USING (lang, y) LEFT JOIN longer USING (lang, x, y)
+    WHERE twos.f >= 10 AND (longest IS NULL OR 100 * longest < 50 * twos.f)
+    UNION ALL
+    SELECT lang, x || ' ' || y || ' ' || z, threes.f, a.f, b.f, 1
+    FROM threes JOIN ones a USING (lang, x) JOIN (SELECT lang, x AS y, y AS z, f FROM twos) b USING (lang, y, z)
+    UNION ALL
+    SELECT lang, x || ' ' || y || ' ' || z, threes.f, a.f, b.f, 2
+    FROM threes JOIN twos a USING (lang, x, y) JOIN (SELECT lang, x AS z, f FROM ones) b USING (lang, z)
+), scores AS (
+    SELECT *, CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cut
+), least_cut AS (
+    SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), totals AS (
+    SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM ones GROUP BY lang
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM least_cut JOIN totals USING (lang) QUALIFY rank <= 2000
+""",
     "op8_minhash_near_dedup": """
 WITH RECURSIVE words AS (
     SELECT row_number() OVER () AS n, doc_id,
