@@ -31,9 +31,10 @@ LEAST = 10  # occurrences of a candidate
 SHARE = 50  # percent of a candidate's occurrences inside a longer one, from which on it is dropped
 TOP = 2000  # phrases of a language that are returned
 BYTES_AT_ONCE = 1 << 20  # text of a portion; a longer text is a portion of its own
-ENTRIES_AT_ONCE = 1 << 20  # distinct phrases that a task holds before it sends them on
+GROUP_BYTES = 4 << 20  # portions that a reading task holds at once
+ENTRIES_AT_ONCE = 1 << 19  # distinct phrases that a task holds before it sends them on
 PHRASES_OF_A_BUCKET = 1 << 21  # occurrences for each bucket of phrases that are added up together
-PHRASES_OF_A_TRIE = 1 << 20  # bound of a broadcast trie
+PHRASES_OF_A_TRIE = 1 << 19  # bound of a broadcast trie
 FILTER_BITS = 26  # size of the bitmaps of frequent parts, 8 MB, whatever the corpus
 BLOCK_BITS = 12  # phrases whose sums are added up together
 SALTS = 32
@@ -426,7 +427,7 @@ def collocations(docs: DataFrame, least: int = LEAST, share: int = SHARE, top: i
     64-bit hashes, so two of n words are taken for one with a chance of n^2 / 2^65. Counts are exact.
     """
     spark = docs.sparkSession
-    texts = written(portions(docs), "portions")
+    texts = written(portions(docs), "portions", GROUP_BYTES)
     totals = texts.groupBy("lang").agg(F.sum("n").alias("n"))
     buckets = max(1, (texts.agg(F.sum("n")).first()[0] or 0) // PHRASES_OF_A_BUCKET)
     words = written(frequent_words(texts, least), "words")

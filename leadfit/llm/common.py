@@ -37,11 +37,15 @@ def with_package(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet into the shared folder and read again: cuts the lineage and outlives lost executors."""
+def written(df: DataFrame, name: str, group_bytes: int | None = None) -> DataFrame:
+    """df written as Parquet into the shared folder and read again: cuts the lineage and outlives lost executors.
+
+    group_bytes bounds a row group, and so what a reading task holds at once of tables with large cells.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/leadfit-llm/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write if group_bytes is None else df.write.option("parquet.block.size", group_bytes)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
