@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,7 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[a-zA-Z/][^<]*\Z|[^<]+|<", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[a-zA-Z/][^<]*\Z|[^<]+|<", re.S)
+TAG = re.compile(r"</?[a-zA-Z]")
+NAME_END = re.compile(r"[\s/>]")
+MARK = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 ATTRIBUTE_WORD = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
@@ -29,6 +33,7 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes noscrip
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 CLOSED_BY_BLOCK = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLING_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+LISTS = frozenset("ul ol dl table select body".split())
 SCOPES = frozenset("article aside section div main nav header footer form table ul ol dl body html blockquote td li".split())
 
 # Words of tags and of class, id and role attributes by which nodes are labelled for learning
@@ -47,7 +52,8 @@ TAGS = "article main section div p h1 h2 h3 h4 ul ol li table blockquote pre fig
 TAG_PLACE = {t: i for i, t in enumerate(TAGS)}
 NUMBERS = ["depth", "index", "siblings", "same_tag_siblings", "children", "elements", "text", "own_text", "link_share", "text_per_element", "share_of_page", "paragraphs", "article_words", "other_words", "attribute_words", "ends", "words_per_block", "position"]
 SAMPLE_PAGES = 1500  # bound of the pages that are learnt from
-NODES_OF_A_PAGE = 400  # bound of the nodes of one page that are learnt from
+NODES_OF_A_PAGE = 400  # bound of the nodes of one page that are learnt from, evenly spread over it
+NODES_AT_ONCE = 1 << 14  # nodes of pages that go through the trees together
 TREES, DEPTH, RATE, BINS = 30, 4, 0.3, 32
 
 
@@ -59,43 +65,92 @@ class Node:
     items: list[str | int] = field(default_factory=list)  # texts and places of child nodes, in page order
 
 
+class _Open:
+    """The open elements, the root first, and for each tag the places where it is open, so that no search walks over them."""
+
+    def __init__(self, nodes: list[Node]):
+        self.nodes, self.stack = nodes, [0]
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = [0]
+
+    def push(self, node: int) -> None:
+        tag = self.nodes[node].tag
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in SCOPES:
+            self.scopes.append(len(self.stack))
+        self.stack.append(node)
+
+    def nearest(self, tags: Iterable[str]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def close(self, place: int, beyond: int) -> None:
+        """Ends the element at a place, with all inside it, if the place lies beyond another."""
+        if place <= beyond:
+            return
+        while len(self.stack) > place:
+            tag = self.nodes[self.stack.pop()].tag
+            self.places[tag].pop()
+            if tag in SCOPES:
+                self.scopes.pop()
+
+
+class _Ends:
+    """Which tags of a page end at all: a tag ends at the first > outside quotes. All tags are settled from the back in
+    one pass over the marks, so that a page of tags that never end is not searched to its end for each of them."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.at = [m.start() for m in MARK.finditer(text)]
+        self.names = [m.start() for m in NAME_END.finditer(text)]
+        outside = double = single = False
+        ends = []
+        for p in reversed(self.at):
+            c = text[p]
+            outside, double, single = (True if c == ">" else double if c == '"' else single), (outside if c == '"' else double), (outside if c == "'" else single)
+            ends.append(outside)
+        self.ends = ends[::-1]
+
+    def __call__(self, start: int) -> bool:
+        """Whether the tag that begins here ends; its name runs up to white space, / or >."""
+        k = bisect_left(self.names, start + 2)
+        mark = bisect_left(self.at, self.names[k]) if k < len(self.names) else len(self.at)
+        return mark < len(self.at) and self.ends[mark]
+
+
 def parse(page: str | None) -> list[Node]:
-    """Nodes of a page in page order, the root first; open elements end where HTML lets them end, stray ends are passed over."""
-    nodes, stack = [Node("#root", -1)], [0]
+    """Nodes of a page in page order, the root first; open elements end where HTML lets them end, stray ends are passed over.
+
+    Takes time in proportion to the page, whatever it holds."""
+    nodes = [Node("#root", -1)]
+    open_ = _Open(nodes)
+    stack = open_.stack
     text = page or ""
     at, n = 0, len(text)
+    ends_at_all: _Ends | None = None
     while at < n:
+        if ends_at_all and TAG.match(text, at) and not ends_at_all(at):
+            rest = text.find("<", at + 1)
+            if rest >= 0:  # the tag is text; the last one of a page is dropped
+                nodes[stack[-1]].items.append(text[at:rest])
+            at = rest if rest >= 0 else n
+            continue
         m = TOKEN.match(text, at)
         at = m.end() if m else at + 1
         if m is None or m.group(2) is None:
             piece = m.group() if m else text[at - 1]
+            if piece == "<" and ends_at_all is None:
+                ends_at_all = _Ends(text)
             if piece[0] != "<" or piece == "<":
                 nodes[stack[-1]].items.append(piece)
             continue
         closing, tag, attributes = m.group(1), m.group(2).lower(), m.group(3)
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == tag:
-                    del stack[k:]
-                    break
-                if nodes[stack[k]].tag in SCOPES and tag not in SCOPES:
-                    break
+            open_.close(open_.nearest((tag,)), 0 if tag in SCOPES else open_.scopes[-1])
             continue
         if tag in CLOSED_BY_BLOCK:
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == "p":
-                    del stack[k:]
-                    break
-                if nodes[stack[k]].tag in SCOPES:
-                    break
-        ends = SIBLING_ENDS.get(tag)
-        if ends:
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag in ends:
-                    del stack[k:]
-                    break
-                if nodes[stack[k]].tag in ("ul", "ol", "dl", "table", "select", "body"):
-                    break
+            open_.close(open_.nearest("p"), open_.scopes[-1])
+        if tag in SIBLING_ENDS:
+            open_.close(open_.nearest(SIBLING_ENDS[tag]), open_.nearest(LISTS))
         words: set[str] = set()
         if attributes and not attributes.isspace():
             for a in ATTRIBUTE.finditer(attributes):
@@ -109,7 +164,7 @@ def parse(page: str | None) -> list[Node]:
             close = text.find(">", end.end()) if end else -1
             at = close + 1 if close >= 0 else n
         elif tag not in VOID and not attributes.endswith("/"):
-            stack.append(len(nodes) - 1)
+            open_.push(len(nodes) - 1)
     return nodes
 
 
@@ -212,7 +267,7 @@ def fit_trees(table: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Trees:
     """Gradient boosting of the logistic loss: Newton leaves, best split of each node over BINS quantiles of a feature."""
     n, width = table.shape
     cuts = [np.unique(np.quantile(table[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(width)]
-    binned = np.stack([np.searchsorted(c, table[:, j], "left") for j, c in enumerate(cuts)], axis=1)
+    binned = np.stack([np.searchsorted(c, table[:, j], "left").astype(np.uint8) for j, c in enumerate(cuts)], axis=1)
     mean = np.clip(np.average(y, weights=weight), 1e-3, 1 - 1e-3)
     base = float(np.log(mean / (1 - mean)))
     score = np.full(n, base)
@@ -322,9 +377,10 @@ def text_of(nodes: list[Node], kept: np.ndarray) -> str:
     return "\n".join(x for x in lines if x)
 
 
-def fit_extractor(pages: DataFrame, most: int = SAMPLE_PAGES) -> Trees | None:
+def fit_extractor(pages: DataFrame, most: int = SAMPLE_PAGES, most_nodes: int = NODES_OF_A_PAGE) -> Trees | None:
     """Trees from nodes whose own or whose ancestors' names tell what they are, on at most `most` pages (first by a hash
-    of the url and id) and NODES_OF_A_PAGE nodes of each. None where no page has nodes of both kinds.
+    of the url and id) and `most_nodes` nodes of each, evenly spread. None where no page has nodes of both kinds. Of
+    several rows of one url and id the html of the smallest hash is learnt from.
 
     In half of the sample the names are taken away (attribute words, and the tags article, main, nav, header, footer,
     aside, form), and in half of those paragraphs and headings too, so that the trees also learn what such nodes look
@@ -333,7 +389,8 @@ def fit_extractor(pages: DataFrame, most: int = SAMPLE_PAGES) -> Trees | None:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     order = F.xxhash64("page_id", "url")
     ids = rows.where(F.length("html") > 0).select("page_id", "url", order.alias("o")).distinct().orderBy("o", "page_id", "url").limit(most)
-    picked = rows.join(F.broadcast(ids.select("page_id", "url")), ["page_id", "url"]).dropDuplicates(["page_id", "url"])
+    picked = rows.join(F.broadcast(ids.select("page_id", "url")), ["page_id", "url"])
+    picked = picked.groupBy("page_id", "url").agg(F.min_by("html", F.struct(F.xxhash64("html"), "html")).alias("html"))
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:
@@ -343,7 +400,7 @@ def fit_extractor(pages: DataFrame, most: int = SAMPLE_PAGES) -> Trees | None:
                 x = features(nodes)
                 y = seed_labels(nodes, named_other(nodes, x[:, NUMBERS.index("share_of_page")]))
                 told = np.flatnonzero(y >= 0)
-                told = told[np.linspace(0, len(told) - 1, min(len(told), NODES_OF_A_PAGE)).astype(int)] if len(told) else told
+                told = told[np.linspace(0, len(told) - 1, min(len(told), most_nodes)).astype(int)] if len(told) else told
                 x, y = x[told], y[told]
                 if int(page_id) % 2:
                     x[:, [NUMBERS.index(c) for c in ("article_words", "other_words", "attribute_words")]] = 0
@@ -355,26 +412,47 @@ def fit_extractor(pages: DataFrame, most: int = SAMPLE_PAGES) -> Trees | None:
                     x[:, len(NUMBERS) + TAG_PLACE["div"]] += x[:, blocks].sum(axis=1)
                     x[:, [*blocks, NUMBERS.index("paragraphs")]] = 0
                     x[:, NUMBERS.index("words_per_block")] = np.expm1(x[:, NUMBERS.index("text")])
-                out += [(int(v), 1.0 / max(len(y), 1), row.tolist()) for v, row in zip(y, x)]
-            yield pd.DataFrame(out, columns=["y", "w", "x"])
+                out.append((y.astype(np.uint8).tobytes(), x.astype(np.float32).tobytes()))
+            yield pd.DataFrame(out, columns=["y", "x"])
 
-    table = picked.where(F.col("page_id").isNotNull()).mapInPandas(learn, "y int, w double, x array<float>").toPandas()
-    y = table["y"].to_numpy(float)
+    # at most most * most_nodes rows of numbers, as bytes
+    found = picked.where(F.col("page_id").isNotNull()).mapInPandas(learn, "y binary, x binary").collect()
+    y = np.frombuffer(b"".join(r["y"] for r in found), np.uint8).astype(float)
     if not len(y) or y.min() == y.max():
         return None
-    x = np.array(table["x"].tolist(), np.float32)
-    weight = table["w"].to_numpy()
+    x = np.frombuffer(b"".join(r["x"] for r in found), np.float32).reshape(len(y), -1)
+    weight = np.concatenate([np.full(len(r["y"]), 1.0 / max(len(r["y"]), 1)) for r in found])
     weight = weight * np.where(y == 1, 0.5 / weight[y == 1].sum(), 0.5 / weight[y == 0].sum()) * len(y)
     order = np.lexsort((*x.T[::-1], y))  # rows come in any order
     return fit_trees(x[order], y[order], weight[order])
 
 
+def extract_all(pages: Iterable[str | None], trees: Trees | None) -> Iterator[str]:
+    """Main text of each page; the nodes of several pages go through the trees together."""
+    held: list[tuple[list[Node], np.ndarray, np.ndarray]] = []
+
+    def texts() -> Iterator[str]:
+        logits = trees.logits(np.concatenate([t for _, t, _ in held])) if trees is not None and held else None
+        at = 0
+        for nodes, table, other in held:
+            own = np.where(seed_labels(nodes, other) == 0, -1.0, 1.0) if logits is None else logits[at:at + len(nodes)]
+            at += len(nodes)
+            yield text_of(nodes, decode(nodes, own, other))
+
+    waiting = 0
+    for page in pages:
+        nodes = parse(page)
+        table = features(nodes)
+        held.append((nodes, table.astype(np.float32), named_other(nodes, table[:, NUMBERS.index("share_of_page")])))
+        waiting += len(nodes)
+        if waiting >= NODES_AT_ONCE:
+            yield from texts()
+            held, waiting = [], 0
+    yield from texts()
+
+
 def extract(page: str | None, trees: Trees | None) -> str:
-    nodes = parse(page)
-    table = features(nodes)
-    other = named_other(nodes, table[:, NUMBERS.index("share_of_page")])
-    logits = trees.logits(table.astype(np.float32)) if trees is not None else np.where(seed_labels(nodes, other) == 0, -1.0, 1.0)
-    return text_of(nodes, decode(nodes, logits, other))
+    return next(extract_all([page], trees))
 
 
 def main_text(pages: DataFrame, trees: Trees | None) -> DataFrame:
@@ -387,7 +465,7 @@ def main_text(pages: DataFrame, trees: Trees | None) -> DataFrame:
 
     @F.pandas_udf("string")
     def text(htmls: pd.Series) -> pd.Series:
-        return pd.Series([extract(h, shared.value) for h in htmls], dtype=object)
+        return pd.Series([*extract_all(htmls, shared.value)], dtype=object)
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text(F.col("html").cast("string")).alias("text"))
     return rows.withColumn("n_chars", F.length("text").cast("long"))
