@@ -22,12 +22,14 @@ from pyspark.sql import functions as F
 from leadfit.llm.common import texts_of
 
 WORD_END = "</w>"
-# Characters whose case, composition and class are the same in all versions of Unicode that libraries use
-PLAIN = re.compile(r"[\t\n\r -~¡-įı-ž]*")
+# Characters whose case, composition and class are not the same in all versions of Unicode that libraries use, as RE2
+# writes them, and the beginning of special tokens
+UNUSUAL = r"[^\t\n\r -~\x{A1}-\x{12F}\x{131}-\x{17E}]|<\|"
 # a word of the tokenizer, as RE2 writes it
 WORD = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)"
 CELLS = 1 << 16  # leaves that step together
-BYTES_AT_ONCE = 16 << 20  # text whose words are encoded together; a longer text goes alone
+FEW = 16  # words that are left of those that step together, from which on each goes alone
+BYTES_AT_ONCE = 4 << 20  # text whose words are encoded together; a longer text goes alone
 IDS_AT_ONCE = 1 << 20  # ids written out together
 
 
@@ -45,7 +47,8 @@ class SegmentTreeBpe:
         spec = json.loads(tokenizer_json)
         vocabulary = spec["model"]["vocab"]
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        self.json = tokenizer_json
+        # normal form and word borders need no vocabulary
+        self.rules = json.dumps(spec | {"added_tokens": [], "post_processor": None, "model": spec["model"] | {"vocab": {}, "merges": []}})
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         names = {i: t for t, i in vocabulary.items()} | {i: t for t, i in self.specials.items()}
         shown = [(names.get(i, "") + " ").encode() for i in range(max(names) + 1)]
@@ -70,6 +73,7 @@ class SegmentTreeBpe:
                 self.slot_code[slot], self.slot_rank[slot] = code, rank
         self.special_pattern = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         self.library = None
+        self.rank_of: dict[int, int] | None = None
 
     def _slot(self, codes: np.ndarray) -> np.ndarray:
         return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
@@ -130,7 +134,7 @@ class SegmentTreeBpe:
             level //= 2
 
         live = np.flatnonzero(tree[:, 1] < infinite)
-        while len(live):
+        while len(live) > FEW:
             top = tree[live, 1]
             at, joined = top % width, self.merged[top // width]
             gone = after[live, at]
@@ -148,9 +152,47 @@ class SegmentTreeBpe:
                 rows, left = live[has], previous[has]
                 self._set(tree, width, rows, left, self._keys(symbol[rows, left], joined[has], left, width, infinite))
             live = live[tree[live, 1] < infinite]
+        for i in live.tolist():
+            symbol[i, :width] = self._merge_alone(symbol[i].tolist(), after[i].tolist(), before[i].tolist(), tree[i].tolist(), width, int(length[i]), infinite)
         kept = symbol >= 0
         return symbol[kept], kept.sum(axis=1)
 
+    def _merge_alone(self, symbol: list[int], after: list[int], before: list[int], tree: list[int], width: int, length: int, infinite: int) -> list[int]:
+        """The symbols of one word after all its merges, from where its tree stands, by plain numbers."""
+        if self.rank_of is None:
+            used = self.slot_code >= 0
+            self.rank_of = dict(zip(self.slot_code[used].tolist(), self.slot_rank[used].tolist()))
+        rank_of, base, merged = self.rank_of, int(self.base), self.merged.tolist()
+
+        def put(leaf: int, key: int) -> None:
+            node = leaf + width
+            tree[node] = key
+            while node > 1:
+                least = min(key, tree[node ^ 1])
+                node >>= 1
+                if tree[node] == least:
+                    return  # nothing changes above
+                tree[node] = key = least
+
+        def key(left: int, right: int, at: int) -> int:
+            rank = rank_of.get(left * base + right)
+            return infinite if rank is None else rank * width + at
+
+        while tree[1] < infinite:
+            rank, at = divmod(tree[1], width)
+            gone = after[at]
+            following, previous = after[gone], before[at]
+            symbol[at], symbol[gone], after[at] = merged[rank], -1, following
+            put(gone, infinite)
+            if following < length:
+                before[following] = at
+                put(at, key(merged[rank], symbol[following], at))
+            else:
+                put(at, infinite)
+            if previous >= 0:
+                put(previous, key(symbol[previous], merged[rank], previous))
+        return symbol[:width]
+
     def _keys(self, left: np.ndarray, right: np.ndarray, at: np.ndarray, width: int, infinite: int) -> np.ndarray:
         rank = self.ranks(left, right)
         return np.where((rank >= 0) & (right >= 0), rank * width + at, infinite)
@@ -167,14 +209,13 @@ class SegmentTreeBpe:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and each text's number of ids; a null text has none."""
-        values = texts.to_pylist()
-        plain = np.array([t is not None and PLAIN.fullmatch(t) is not None and "<|" not in t for t in values], bool)
+        plain = ~pc.fill_null(pc.match_substring_regex(texts, UNUSUAL), True).to_numpy(zero_copy_only=False)
         usual, usual_count = self._encode_plain(texts.filter(pa.array(plain)))
         other = np.flatnonzero(~plain)
         if not len(other):
             return usual, usual_count
-        unusual, unusual_count = self._encode_unusual([values[i] or "" for i in other.tolist()])
-        count = np.zeros(len(values), np.int64)
+        unusual, unusual_count = self._encode_unusual([t or "" for t in texts.filter(pa.array(~plain)).to_pylist()])
+        count = np.zeros(len(plain), np.int64)
         count[plain], count[other] = usual_count, unusual_count
         begin = np.cumsum(count) - count
         out = np.zeros(int(count.sum()), np.int32)
@@ -216,7 +257,7 @@ class SegmentTreeBpe:
         if self.library is None:
             from tokenizers import Tokenizer
 
-            self.library = Tokenizer.from_str(self.json)
+            self.library = Tokenizer.from_str(self.rules)
         normal, borders = self.library.normalizer.normalize_str, self.library.pre_tokenizer.pre_tokenize_str
         place: dict[str | int, int] = {}
         words, per_text = [], []
@@ -301,6 +342,7 @@ def encoded_portions(encoder: SegmentTreeBpe, batches: Iterator[pa.RecordBatch])
             last = max(first + 1, int(np.searchsorted(size, before + BYTES_AT_ONCE, "right")))
             rows = batch.slice(first, last - first)
             yield rows, *encoder.encode(rows.column("text"))
+            pa.default_memory_pool().release_unused()
             first = last
 
 

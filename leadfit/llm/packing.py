@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadfit.llm.bpe import encoded_portions, encoder_of, ragged, share_tokenizer
@@ -123,8 +123,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int) -> DataFrame:
             start = piece * capacity
             length = np.minimum(total[doc] - start, capacity)
             begin = (np.cumsum(total) - total)[doc] + start
-            data = memoryview(with_end.tobytes())
-            crc = [zlib.crc32(data[4 * b:4 * (b + n)]) for b, n in zip(begin.tolist(), length.tolist())]
+            crc = [zlib.crc32(with_end[b:b + n]) for b, n in zip(begin.tolist(), length.tolist())]
             order = np.argsort(length, kind="stable")
             run_length, run_start, run_count = np.unique(length[order], return_index=True, return_counts=True)
             rank = np.empty(len(length), np.int64)
@@ -189,10 +188,3 @@ def packed_sequences(docs: DataFrame, placed: DataFrame, tokenizer_path: str) ->
     rows = placed.join(ids, "doc_id").select("sequence_id", F.struct("offset", "doc_id", part.alias("ids")).alias("p"))
     return rows.groupBy("sequence_id").agg(F.array_sort(F.collect_list("p")).alias("p")).select(
         "sequence_id", F.flatten("p.ids").alias("ids"), F.col("p.doc_id").alias("doc_ids"))
-
-
-def pack_with_tokenizer(spark: SparkSession, docs: DataFrame, name: str = "word_bpe_49k.json") -> DataFrame:
-    """pack_documents with one of the public tokenizer files by its name."""
-    import public_tokenizers
-
-    return pack_documents(docs, public_tokenizers.path(name))

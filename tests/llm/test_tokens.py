@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -60,6 +61,15 @@ def test_long_words(encoder, library):
     check(encoder, library, ["a" * 3000, "ab" * 2000, "".join(r.choice("thanered") for _ in range(5000)), "", "   "])
 
 
+def test_very_long_words(encoder, library):
+    """One word alone takes a small multiple of its merges, not a round of array calls for each."""
+    r = random.Random(12)
+    texts = ["".join(r.choice("etaoinshrdlu") for _ in range(n)) for n in (2_000, 60_000, 200_000)] + ["ab" * 50_000, "z" * 70_000]
+    start = time.time()
+    check(encoder, library, texts)
+    assert time.time() - start < 30
+
+
 def test_portions_of_a_batch(encoder, library, monkeypatch):
     texts = [f"text number {k}, of some words É" + " x" * (k % 7) for k in range(200)] + [None, "", "ﬁ"]
     monkeypatch.setattr(bpe, "BYTES_AT_ONCE", 300)
