@@ -14,6 +14,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadfit.llm.common import written
+
 PER_CLASS = 2000  # bound of the labelled urls that are learnt from, by class
 TREES = 12
 DEPTH = 4
@@ -64,10 +66,17 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column,
 
 
 def entropy(text: Column) -> Column:
-    """Bits a letter of a text; 0 for an empty one."""
-    letters = F.filter(F.split(text, ""), lambda c: c != "")
-    counts = F.transform(F.array_distinct(letters), lambda d: F.size(F.filter(letters, lambda c: c == d)) / F.greatest(F.size(letters), F.lit(1)))
-    return F.aggregate(counts, F.lit(0.0), lambda s, p: s - p * F.log2(p))
+    """Bits a letter of a text; 0 for an empty one. One pass over its sorted letters, run by run."""
+    weight = lambda n: F.when(n > 1, n * F.log2(n)).otherwise(0.0)
+    state = lambda letter, run, total: F.struct(letter.alias("letter"), run.alias("run"), total.alias("total"))
+
+    def add(s: Column, c: Column) -> Column:
+        return F.when(c == s["letter"], state(s["letter"], s["run"] + 1.0, s["total"])).otherwise(state(c, F.lit(1.0), s["total"] + weight(s["run"])))
+
+    letters = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
+    runs = F.aggregate(letters, state(F.lit(""), F.lit(0.0), F.lit(0.0)), add, lambda s: s["total"] + weight(s["run"]))
+    size = F.greatest(F.size(letters), F.lit(1))
+    return F.log2(size.cast("double")) - runs / size
 
 
 def share_of(text: Column, pattern: str) -> Column:
@@ -101,15 +110,17 @@ def label_of(host: Column) -> Column:
 
 
 class UrlModel:
-    """Trees and the blame of host suffixes; without labelled urls of both kinds it allows all."""
+    """Trees and the blame of host suffixes, a table (known_suffix, blame); without labelled urls of both kinds it allows all."""
 
-    def __init__(self, trees: PipelineModel | None, blame: dict[str, float], average: float):
+    def __init__(self, trees: PipelineModel | None, blame: DataFrame | None, average: float):
         self.trees, self.blame, self.average = trees, blame, average
 
     def with_features(self, urls: DataFrame) -> DataFrame:
-        known = F.create_map(*(F.lit(x) for pair in sorted(self.blame.items()) for x in pair)) if self.blame else F.lit(None).cast("map<string,double>")
         table = lexical(urls)
-        return table.withColumn("suffix_blame", F.coalesce(known[F.col("suffix")], F.lit(self.average)))
+        if self.blame is None:
+            return table.withColumn("suffix_blame", F.lit(self.average))
+        known = table.join(self.blame, F.col("suffix") == F.col("known_suffix"), "left")
+        return known.withColumn("suffix_blame", F.coalesce("blame", F.lit(self.average))).drop("known_suffix", "blame")
 
     def scored(self, urls: DataFrame) -> DataFrame:
         """urls with a column block_score, the probability that the url is one to block."""
@@ -124,7 +135,7 @@ def fit_urls(urls: DataFrame, label: Column | None = None, per_class: int = PER_
     """Trees from labelled distinct urls: at most per_class of each class, first by a hash of the url.
 
     label gives 1 (block) or 0 (allow) from the columns url, host and path; without it, host words decide. Suffix
-    statistics count all labelled urls; only the 100 commonest suffixes get a value of their own.
+    statistics count all labelled urls and have a row for each suffix, written as a table.
     """
     base = urls.select("url").where(F.col("url").isNotNull()).distinct()
     parts = base.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
@@ -132,10 +143,10 @@ def fit_urls(urls: DataFrame, label: Column | None = None, per_class: int = PER_
     suffixes = labelled.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("blocked"))
     total = suffixes.agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked")).first()
     if not total["n"] or not 0 < total["blocked"] < total["n"]:
-        return UrlModel(None, {}, 0.0)
+        return UrlModel(None, None, 0.0)
     average = total["blocked"] / total["n"]
-    common = suffixes.orderBy(F.desc("n"), "suffix").limit(100).collect()
-    blame = {r["suffix"]: (r["blocked"] + SUFFIX_WEIGHT * average) / (r["n"] + SUFFIX_WEIGHT) for r in common}
+    blamed = (F.col("blocked") + SUFFIX_WEIGHT * average) / (F.col("n") + SUFFIX_WEIGHT)
+    blame = written(suffixes.select(F.col("suffix").alias("known_suffix"), blamed.alias("blame")), "suffixes")
     order = [F.xxhash64("url"), F.col("url")]
     one, zero = (labelled.where(F.col("label") == v).select("url", "label").orderBy(*order).limit(per_class) for v in (1, 0))
     model = UrlModel(None, blame, average)
