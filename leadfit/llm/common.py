@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -19,7 +20,7 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="leadfit-llm-")
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -79,6 +80,10 @@ def sampled_labels(labels: DataFrame, label: str, per_class: int, parts: int = 0
     return one.unionByName(two), sizes
 
 
-def sampled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """(doc_id, text, label) of the sampled ids; the sample is bounded by its limit, so it goes to every scan task."""
-    return texts_of(docs).join(F.broadcast(sample), "doc_id")
+def sampled_texts(docs: DataFrame, sample: DataFrame, found: dict[str, Column]) -> DataFrame:
+    """(doc_id, label, and what found names) of the sampled ids, one row of each: of several texts of one id that of the
+    smallest hash. found is worked out from the column text before the shuffle. The sample is bounded by its limit, so it
+    goes to every scan task."""
+    rows = texts_of(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "label", F.xxhash64("text").alias("hash"), *(c.alias(n) for n, c in found.items()))
+    one = rows.groupBy("doc_id").agg(F.min_by(F.struct("label", *found), F.struct("hash", *found)).alias("one"))
+    return one.select("doc_id", "one.*")

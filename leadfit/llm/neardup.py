@@ -32,7 +32,7 @@ SHORT = 16  # sets up to this size are indexed by runs of 2 as well
 MARGIN = 4.5  # standard deviations that an estimate may lie below the threshold
 FEW = 12  # smallest values whose lists bring the last open nodes together
 PAIRED = 8  # members up to which a list's pairs are written out
-SURE = 3  # pairs of two components that are passed on where an estimate leaves no doubt
+SURE = 3  # pairs of two components that are passed on where an estimate leaves no doubt: each fails with a chance of 3.4e-6
 BLOCK = 1024  # members of a long list that are compared with as many others at once
 PREFILTER_SLOTS = 1 << 18  # bound of the ids that are sent to the scan of texts
 BYTES_AT_ONCE = 4 << 20
@@ -93,7 +93,7 @@ def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, node, sketch): node is a 64-bit hash of the whole set, null for an empty one; sketch holds the
+    """(doc_id, text_key, n_shingles, node, sketch): node is a 64-bit hash of the whole set, null for an empty one; sketch holds the
     upper halves of its K smallest fingerprints, in order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in portions(batches):
@@ -103,11 +103,11 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 node.append(np.uint64(xxhash.xxh3_64_intdigest(x.tobytes())).astype(np.int64).item() if len(x) else None)
                 sketch.append((x[:K] >> np.uint64(32)).astype("<u4").tobytes() if len(x) else None)
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.binary())],
-                ["doc_id", "n_shingles", "node", "sketch"],
+                [rows.column("doc_id"), rows.column("text_key"), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.binary())],
+                ["doc_id", "text_key", "n_shingles", "node", "sketch"],
             )
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, n_shingles long, node long, sketch binary")
+    return texts_of(docs).withColumn("text_key", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_key long, n_shingles long, node long, sketch binary")
 
 
 def run_keys(sketch: np.ndarray) -> np.ndarray:
@@ -366,13 +366,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     Two documents are linked where 100 * intersection >= percent * union of their shingle sets; component_id is the
     smallest doc_id that links lead to, the document itself included, and kept marks the document that bears it.
-    Fingerprints have 64 bits, so unequal shingles of two sets of n count as equal with a chance of n^2 / 2^64.
+    Fingerprints have 64 bits, so unequal shingles of two sets of n count as equal with a chance of n^2 / 2^64. A pair of
+    sets over K shingles at the threshold itself is refused by its estimate with a chance of 1e-5; the further above, the
+    less. Sets of up to K shingles are never missed for the estimate.
 
     A null or empty text, or one without words, has no shingles and is linked with nothing: it is its own component. A
     row without doc_id is linked with nothing, has a null component and is kept. Rows that repeat an id with the same
     text are copies of each other and bear the same component. An empty table gives an empty one; other columns are
     ignored. percent must be at least 80.
     """
+    return _judged(docs, words, percent).drop("text_key")
+
+
+def _judged(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """near_duplicates with a hash of each row's text."""
     if percent < 80:
         raise ValueError("the index finds all links only from 80 percent on")
     threshold = percent / 100
@@ -396,17 +403,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     found = named.join(smallest, "label").select("node", "component_id")
     # nodes without links: their copies still share the smallest id
     own = nodes.join(found, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
-    with_id = sig.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
-    linked = with_id.where(F.col("node").isNotNull()).join(own, "node").select("doc_id", "n_shingles", "component_id")
-    alone = with_id.where(F.col("node").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    with_id = sig.select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
+    linked = with_id.where(F.col("node").isNotNull()).join(own, "node").select("doc_id", "text_key", "n_shingles", "component_id")
+    alone = with_id.where(F.col("node").isNull()).select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, with all their columns as they are, that near_duplicates keeps: one document of each group.
 
-    Of rows that repeat both id and text one stays; rows of a kept id whose texts differ all stay.
+    Rows are judged by id and text: of an id that stands on several texts only the copies of others go. Of rows that
+    repeat both id and text one stays, the first by its other columns as JSON. Rows without id all stay.
     """
-    dropped = near_duplicates(docs, words, percent).where("NOT kept").select(F.col("doc_id").alias("dropped_id"))
-    ids = dropped.distinct()
-    return docs.join(ids, docs["doc_id"] == ids["dropped_id"], "left_anti").dropDuplicates(["doc_id", "text"])
+    gone = _judged(docs, words, percent).where("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    same = (docs["doc_id"].cast("long") == gone["gone_id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["gone_key"])
+    kept = docs.join(gone, same, "left_anti")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    with_id = kept.where(F.col("doc_id").isNotNull())
+    if others:
+        one = with_id.groupBy("doc_id", "text").agg(F.min_by(F.struct(*others), F.to_json(F.struct(*others))).alias("others"))
+        with_id = one.select(*(F.col(c if c in ("doc_id", "text") else f"others.{c}").alias(c) for c in docs.columns))
+    else:
+        with_id = with_id.distinct()
+    return with_id.unionByName(kept.where(F.col("doc_id").isNull()))

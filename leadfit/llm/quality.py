@@ -22,7 +22,7 @@ CHUNK = 1024
 DICTIONARY_BYTES = 65_536
 LEVEL = 3
 PER_CLASS = 3000  # bound of the labelled rows that are learnt from, by class
-CHUNKS_OF_A_TEXT = 4  # bound of the chunks of one labelled text that are learnt from
+CHUNKS_OF_A_TEXT = 4  # bound of the chunks of one labelled text that are learnt from, evenly spread over it
 SHRINKAGE = 50  # bytes of average text that every text is mixed with
 
 
@@ -91,11 +91,12 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return w[0] / scale, w[1] - w[0] * centre / scale
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 4, held_out: int = 2, per_class: int = PER_CLASS) -> CompressionModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 4, held_out: int = 2, per_class: int = PER_CLASS, most_chunks: int = CHUNKS_OF_A_TEXT) -> CompressionModel:
     """Dictionaries from two thirds of a bounded sample of labelled texts, calibration from the rest.
 
-    At most per_class rows of each class and CHUNKS_OF_A_TEXT chunks of a text, evenly spread over it, come to the
-    driver, whatever the corpus. The classes weigh in the calibration what they weigh among all labelled rows.
+    At most per_class rows of each class and most_chunks chunks of a text, evenly spread over it, come to the driver,
+    whatever the corpus. The classes weigh in the calibration what they weigh among all labelled rows. Of several texts
+    of one id that of the smallest hash is learnt from.
     """
     sample, sizes = sampled_labels(labels, label, per_class, parts, held_out)
     if not sizes.get(0) or not sizes.get(1):
@@ -105,12 +106,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", part
     def spread_chunks(texts: pd.Series) -> pd.Series:
         def pick(text):
             chunks = chunks_of(text)
-            return [chunks[i] for i in sorted({*np.linspace(0, len(chunks) - 1, CHUNKS_OF_A_TEXT).astype(int)})] if chunks else []
+            return [chunks[i] for i in sorted({*np.linspace(0, len(chunks) - 1, most_chunks).astype(int)})] if chunks else []
 
         return texts.map(pick)
 
-    rows = sampled_texts(docs, sample).select("doc_id", "label", spread_chunks("text").alias("chunks"))
-    rows = sorted(rows.dropDuplicates(["doc_id"]).collect(), key=lambda r: r["doc_id"])
+    rows = sorted(sampled_texts(docs, sample, {"chunks": spread_chunks("text")}).collect(), key=lambda r: r["doc_id"])
     held = {v: [r["chunks"] for r in rows if r["label"] == v and r["chunks"]] for v in (0, 1)}
     if not held[0] or not held[1]:
         return CompressionModel(constant=sizes[1] / (sizes[0] + sizes[1]))

@@ -169,17 +169,18 @@ def learn_list(table: np.ndarray, bad: np.ndarray, names: Sequence[str], precisi
 
 
 def fit_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> list[Rule]:
-    """Rules that reject, from a bounded sample of labelled rows: at most per_class of each class, numbers only.
+    """Rules that reject, from a bounded sample of labelled rows: at most per_class of each class, numbers only. Of several
+    texts of one id that of the smallest hash is learnt from.
 
     Without labelled rows of both classes there are no rules and nothing is rejected.
     """
     sample, sizes = sampled_labels(labels, label, per_class)
     if not sizes.get(0) or not sizes.get(1):
         return []
-    counted = sampled_texts(docs, sample).select("doc_id", "label", text_counts(F.col("text")).alias("counts"))
+    counted = sampled_texts(docs, sample, {"counts": text_counts(F.col("text"))})
     stats = statistics(F.col("counts"))
     names = [*stats]
-    rows = counted.select("doc_id", "label", *(c.alias(n) for n, c in stats.items())).dropDuplicates(["doc_id"])
+    rows = counted.select("doc_id", "label", *(c.alias(n) for n, c in stats.items()))
     rows = sorted(rows.collect(), key=lambda r: r["doc_id"])
     table = np.array([[r[n] for n in names] for r in rows], float).reshape(-1, len(names))
     return learn_list(table, np.array([r["label"] == 0 for r in rows], bool), names)
@@ -211,8 +212,3 @@ def judge_documents(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return counted.select(
         "doc_id", *COUNTS, failed.alias("base_failed"), rejecting_rule(rules, F.col("counts")).alias("rule"),
     ).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
-
-
-def rules_text(rules: Sequence[Rule]) -> Iterator[str]:
-    for k, rule in enumerate(rules, 1):
-        yield f"{k}. reject if " + " and ".join(f"{c.statistic} {'>=' if c.at_least else '<'} {c.threshold:.6g}" for c in rule)

@@ -22,7 +22,6 @@ from leadfit.llm.common import sampled_labels, sampled_texts, written
 WORD = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"[.!?\n]+")
 PER_CLASS = 4000  # bound of the labelled rows that are learnt from, by class
-WORDS_OF_A_TEXT = 20_000  # bound of the distinct words of one labelled text that are learnt from
 STEMS = (5, 7)  # letters of a word's beginning
 FEATURES = 2000
 LEAST_GAIN = 5.0  # likelihood ratio below which a word tells too little to be kept
@@ -125,7 +124,8 @@ def fit_toxicity(
     per_class: int = PER_CLASS, identity_terms: Mapping[str, Sequence[str]] = IDENTITY_TERMS, penalty: float = 5.0,
 ) -> ToxicityModel:
     """A model from a bounded sample of labelled texts: at most per_class rows of each class outside the held-out fold,
-    at most WORDS_OF_A_TEXT distinct words of each. Classes weigh what they weigh among all labelled rows of the fold.
+    all words of each. Classes weigh what they weigh among all labelled rows of the fold. Of several texts of one id that
+    of the smallest hash is learnt from.
     """
     sample, sizes = sampled_labels(labels, label, per_class, parts, held_out)
     if not sizes.get(0) or not sizes.get(1):
@@ -136,11 +136,11 @@ def fit_toxicity(
         for batch in batches:
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"], "label": batch["label"],
-                "words": [sorted(words_of(t))[:WORDS_OF_A_TEXT] for t in batch["text"]],
-                "terms": [swaps_of(t, kind_of)[:WORDS_OF_A_TEXT] for t in batch["text"]],
+                "words": [sorted(words_of(t)) for t in batch["text"]],
+                "terms": [swaps_of(t, kind_of) for t in batch["text"]],
             })
 
-    rows = sampled_texts(docs, sample).dropDuplicates(["doc_id"]).mapInPandas(features, "doc_id long, label int, words array<string>, terms array<string>")
+    rows = sampled_texts(docs, sample, {"text": F.col("text")}).mapInPandas(features, "doc_id long, label int, words array<string>, terms array<string>")
     rows = written(rows, "labelled")
     found = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not found.get(0) or not found.get(1):
