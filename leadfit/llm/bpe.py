@@ -74,6 +74,7 @@ class SegmentTreeBpe:
         self.special_pattern = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         self.library = None
         self.rank_of: dict[int, int] | None = None
+        self.merged_of: list[int] = []
 
     def _slot(self, codes: np.ndarray) -> np.ndarray:
         return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
@@ -162,7 +163,8 @@ class SegmentTreeBpe:
         if self.rank_of is None:
             used = self.slot_code >= 0
             self.rank_of = dict(zip(self.slot_code[used].tolist(), self.slot_rank[used].tolist()))
-        rank_of, base, merged = self.rank_of, int(self.base), self.merged.tolist()
+            self.merged_of = self.merged.tolist()
+        rank_of, base, merged = self.rank_of, int(self.base), self.merged_of
 
         def put(leaf: int, key: int) -> None:
             node = leaf + width
