@@ -31,6 +31,7 @@ _TECH = ", ".join(fv.TECH_PATTERNS)
 
 # ---- sources
 O["scan_leads_csv"] = f"SELECT {_cleaned} FROM leads_raw"
+O["scan_leads_split"] = O["scan_leads_csv"]
 O["detect_delimiter"] = f"""SELECT {clean('city')} AS city, count(*) AS n, count({clean('website')}) AS sites, ';' AS sep
 FROM leads_raw GROUP BY 1"""
 O["scan_page_corpus"] = f"""SELECT url, 200 AS status, url AS final_url, length(html) AS chars,

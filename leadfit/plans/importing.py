@@ -26,5 +26,5 @@ def import_csv(
     spark: SparkSession, table: VersionedTable, path: str, batch_id: str, today: date, icp: dict | None = None,
     multi_line: bool = True,
 ) -> DataFrame:
-    """Files without quoted line breaks scan in splits with multi_line=False."""
+    """Files known to have no quoted line breaks are read once with multi_line=False."""
     return import_rows(table, scan_lead_files(spark, path, multi_line=multi_line), batch_id, today, icp)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,7 +16,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):  # not local-cluster
             raise ValueError("Set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="leadfit-")
     return f"{base.rstrip('/')}/leadfit/{name}-{uuid.uuid4().hex}"

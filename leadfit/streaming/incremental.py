@@ -22,8 +22,8 @@ def incremental_import(
     The stream only says which files are new; each is then read by its own header and delimiter. The
     upsert makes a file that is delivered twice add nothing, whatever the checkpoint knows. Files
     that wait together are merged as one batch unless `files_per_batch` says otherwise; each batch
-    writes a new version of the table, so few large batches are cheaper. Files without
-    quoted line breaks scan in splits with `multi_line=False`.
+    writes a new version of the table, so few large batches are cheaper. Files
+    known to have no quoted line breaks are read once with `multi_line=False`.
     """
     reader = spark.readStream
     if files_per_batch:
