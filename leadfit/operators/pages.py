@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadfit import fixed_values as fv
@@ -61,54 +61,37 @@ def clean_fetches(fetches: DataFrame) -> DataFrame:
 # ---- robots rules ------------------------------------------------------------------
 
 def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
-    """robots(origin, status, body) -> one row per origin with the ordered rules for this agent."""
+    """robots(origin, status, body) -> one row per origin with the ordered rules for this agent.
+
+    A group begins at an agent line that follows no other agent line directly (comments and unknown fields aside) and
+    holds the rule lines behind it, up to the next blank line or group. The first group that names the agent counts, else
+    the first for all agents; groups without rules are none. Lines are rows here, so a long file takes time in proportion.
+    """
     bot = agent.split("/")[0].lower()
     one_each = robots.where(F.col("status") == 200).groupBy("origin").agg(F.min("body").alias("body"))
-    lines = F.transform(
-        F.split("body", r"\r\n|\r|\n"), lambda x: F.trim(F.regexp_replace(x, "#.*$", ""))
-    )
-    item = "struct<grp:int,field:string,value:string>"
-    start = F.struct(
-        F.lit(0).alias("state"), F.lit(0).alias("grp"), F.array().cast(f"array<{item}>").alias("items")
-    )
-
-    # state: 0 outside a group, 1 after agent lines, 2 after rule lines
-    def step(acc: Column, line: Column) -> Column:
-        field = F.lower(F.trim(F.substring_index(line, ":", 1)))
-        value = F.trim(F.regexp_replace(line, "^[^:]*:", ""))
-        blank = line == ""
-        agent_line = line.contains(":") & (field == "user-agent")
-        rule_line = line.contains(":") & field.isin("allow", "disallow") & (acc["state"] > 0)
-        new_group = (agent_line & (acc["state"] != 1)) | (blank & (acc["state"] > 0))
-        grp = acc["grp"] + F.when(new_group, 1).otherwise(0)
-        state = (
-            F.when(blank, 0).when(agent_line, 1).when(rule_line, 2).otherwise(acc["state"])
-        )
-        entry = F.array(F.struct(grp.alias("grp"), field.alias("field"), value.alias("value")))
-        return F.struct(
-            state.alias("state"), grp.alias("grp"),
-            F.when(agent_line | rule_line, F.concat(acc["items"], entry)).otherwise(acc["items"]).alias("items"),
-        )
-
-    parsed = one_each.select("origin", F.aggregate(lines, start, step)["items"].alias("items"))
-    agents = F.filter("items", lambda i: i["field"] == "user-agent")
-    star_groups = F.transform(F.filter(agents, lambda i: i["value"] == "*"), lambda i: i["grp"])
-    # a group with no rule line is dropped, as an unfinished group is
-    ruled = F.transform(F.filter("items", lambda i: i["field"] != "user-agent"), lambda i: i["grp"])
-    named_groups = F.transform(
-        F.filter(agents, lambda i: F.lit(bot).contains(F.lower(i["value"])) & (i["value"] != "")),
-        lambda i: i["grp"],
-    )
-    own = F.array_min(F.array_intersect(F.array_except(named_groups, star_groups), ruled))
-    chosen = F.coalesce(own, F.array_min(F.array_intersect(star_groups, ruled)))
-    grouped = parsed.select("origin", "items", chosen.alias("chosen"))
-    rules = F.transform(
-        F.filter("items", lambda i: (i["grp"] == F.col("chosen")) & (i["field"] != "user-agent")),
-        lambda i: F.struct(
-            i["value"].alias("path"), ((i["field"] == "allow") | (i["value"] == "")).alias("allow")
-        ),
-    )
-    return grouped.select("origin", rules.alias("rules"))
+    lines = one_each.select("origin", F.posexplode(F.split("body", r"\r\n|\r|\n")).alias("n", "raw")).select(
+        "origin", "n", F.trim(F.regexp_replace("raw", "#.*$", "")).alias("line"))
+    told = F.col("line").contains(":")
+    field = F.lower(F.trim(F.substring_index("line", ":", 1)))
+    kind = F.when(F.col("line") == "", "blank").when(told & (field == "user-agent"), "agent").when(told & field.isin("allow", "disallow"), field)
+    kinds = lines.select("origin", "n", kind.alias("kind"), F.trim(F.regexp_replace("line", "^[^:]*:", "")).alias("value")).where(F.col("kind").isNotNull())
+    order = Window.partitionBy("origin").orderBy("n")
+    place = lambda k: F.max(F.when(F.col("kind") == k, F.col("n"))).over(order)
+    is_agent = F.col("kind") == "agent"
+    begins = is_agent & (F.coalesce(F.lag("kind").over(order), F.lit("blank")) != "agent")
+    placed = kinds.withColumns({
+        "begins": begins.cast("int"), "grouped": F.coalesce(place("agent") > F.coalesce(place("blank"), F.lit(-1)), F.lit(False))})
+    placed = placed.withColumn("grp", F.sum("begins").over(order))
+    rule = F.col("grouped") & F.col("kind").isin("allow", "disallow")
+    entry = F.struct("n", F.col("value").alias("path"), ((F.col("kind") == "allow") | (F.col("value") == "")).alias("allow"))
+    groups = placed.groupBy("origin", "grp").agg(
+        F.max(is_agent & (F.col("value") == "*")).alias("star"),
+        F.max(is_agent & (F.col("value") != "") & F.lit(bot).contains(F.lower("value"))).alias("named"),
+        F.array_sort(F.collect_list(F.when(rule, entry))).alias("entries"))
+    ruled = groups.where(F.size("entries") > 0).withColumn("rules", F.transform("entries", lambda e: F.struct(e["path"].alias("path"), e["allow"].alias("allow"))))
+    own = F.min_by("rules", F.when(F.col("named") & ~F.col("star"), F.col("grp")))
+    for_all = F.min_by("rules", F.when(F.col("star"), F.col("grp")))
+    return ruled.groupBy("origin").agg(F.coalesce(own, for_all).alias("rules")).where(F.col("rules").isNotNull())
 
 
 def robots_verdict(urls: DataFrame, robots: DataFrame, agent: str, hot_rows: int = 1_000_000) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leadfit.functions import contacts as ct
 from leadfit.functions import html as ht
 from leadfit.functions.text import domain_from_email, normalize_domain
+from leadfit.operators import pages
 
 SIZE = 1_500_000
 
@@ -50,3 +51,16 @@ def test_unclosed_tags_end_with_the_page(one):
         h="<title>A &amp; B</title><p>seen</p><meta name=description content='it is'><p>also <a href='x")
     assert (text, title, description) == ("A & B seen also", "A & B", "it is")
     assert one([ht.html_title("h")], h="<title>never closed") == [None]
+
+
+def test_robots_files_of_many_lines(spark):
+    """A file of 100,000 lines takes seconds; the last rule of the right group still counts."""
+    agent = "LeadBot/1.0"
+    lines = ["User-agent: *", "Disallow: /all"] + [f"Disallow: /p{k}" for k in range(50_000)] + ["", "User-agent: other"] + [f"# {k}" for k in range(100)]
+    lines += [f"Allow: /q{k}" for k in range(50_000)] + ["User-agent: leadbot", "User-agent: twin", "Crawl-delay: 1", *(f"Disallow: /r{k}" for k in range(3)), "", "Disallow: /stray"]
+    robots = spark.createDataFrame([("https://a.test", 200, "\r\n".join(lines)), ("https://b.test", 200, "\n".join(lines[:50_003]))], "origin string, status int, body string")
+    start = time.time()
+    rules = {r["origin"]: [x["path"] for x in r["rules"]] for r in pages.robots_rules(robots, agent).collect()}
+    assert time.time() - start < 30
+    assert rules["https://a.test"] == ["/r0", "/r1", "/r2"]
+    assert rules["https://b.test"] == ["/all", *(f"/p{k}" for k in range(50_000))]
