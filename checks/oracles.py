@@ -315,6 +315,8 @@ O["store_fetches"] = """SELECT url, status, length(html) + CASE WHEN page_id % 2
 FROM fetch_raw WHERE status <> 0"""
 O["store_scores"] = "SELECT lead_key, score, tier, confidence, 7 AS components, len(flags) AS n_flags FROM scored"
 upsert_ctes("again", "upserted", "merged_after", 3)
+O["upsert_store"] = O["upsert_leads"]
+O["upsert_store_repeated"] = "SELECT batch_id, count(*) AS leads, count(domain) AS with_domain FROM again_upserted GROUP BY batch_id"
 O["import_batches"] = "SELECT batch_id, count(*) AS leads, count(domain) AS with_domain FROM again_upserted GROUP BY batch_id"
 O["incremental_import_stream"] = """SELECT domain IS NOT NULL AS has_domain, count(*) AS leads, count(DISTINCT domain) AS domains
 FROM merged_all GROUP BY 1"""

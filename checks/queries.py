@@ -20,6 +20,7 @@ from leadfit.operators.contacts import enrich_contacts, enrich_status, fill_cont
 from leadfit.plans import enrichment
 from leadfit.plans.importing import import_rows, merged_leads
 from leadfit.sources import lead_files, page_tables, sinks
+from leadfit.sources.lead_store import LeadStore
 from leadfit.sources.params import read_params
 from leadfit.sources.tables import VersionedTable, materialize, shared_dir
 from leadfit.streaming.incremental import incremental_import
@@ -378,6 +379,28 @@ def upsert_leads(i):
     return out.select("lead_key", "seq", "batch_id", *merging.LEAD_FIELDS)
 
 
+def _store_of_both(i: Inputs) -> LeadStore:
+    store = LeadStore(i.spark, shared_dir(i.spark, "lead-store"), buckets=16)
+    store.upsert(merged_leads(raw(i, "before")), "b1", DAY)
+    store.upsert(_incoming(i), "b2", DAY)
+    return store
+
+
+@query
+def upsert_store(i):
+    """The same two batches into a store in buckets."""
+    return _store_of_both(i).read().select("lead_key", "seq", "batch_id", *merging.LEAD_FIELDS)
+
+
+@query
+def upsert_store_repeated(i):
+    """A batch that comes again, and the store written as one batch."""
+    store = _store_of_both(i)
+    store.upsert(_incoming(i), "b3", DAY)
+    return store.compacted(shared_dir(i.spark, "lead-store")).read().groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("leads"), F.count("domain").alias("with_domain"))
+
+
 @query
 def import_counts(i):
     return merging.upsert_counts(merging.match_existing(_incoming(i), imported_before(i)))

@@ -66,21 +66,27 @@ def match_existing(incoming: DataFrame, stored: DataFrame, hot_rows: int = 1_000
     Stored rows are those before the batch, so rows of one batch never match each other.
     """
     by_domain = stored.where(F.col("domain").isNotNull()).select("domain", F.col("lead_key").alias("m1"))
-    step1 = balanced_left_join(incoming, by_domain, ["domain"], ["key"], hot_rows=None)
+    return match_keys(incoming, by_domain, named_cities(stored), hot_rows)
 
-    # NULL city joins NULL city: compare a filled-in copy plus a marker
-    def city_cols(df: DataFrame) -> DataFrame:
-        return df.withColumn("_city", F.coalesce("city", F.lit(""))).withColumn("_no_city", F.col("city").isNull())
 
-    by_name = (
-        city_cols(stored).groupBy("name_key", "_city", "_no_city")
-        .agg(F.min_by("lead_key", "seq").alias("m2"))
-    )
-    todo = city_cols(step1).withColumn("name_key_", F.col("name_key")).withColumn(
+def _city_cols(df: DataFrame) -> DataFrame:
+    """NULL city joins NULL city: compare a filled-in copy plus a marker."""
+    return df.withColumn("_city", F.coalesce("city", F.lit(""))).withColumn("_no_city", F.col("city").isNull())
+
+
+def named_cities(stored: DataFrame) -> DataFrame:
+    """The first lead (m2) of each name and city, from rows with name_key, city, lead_key and seq."""
+    return _city_cols(stored).groupBy("name_key", "_city", "_no_city").agg(F.min_by("lead_key", "seq").alias("m2"))
+
+
+def match_keys(incoming: DataFrame, by_domain: DataFrame, by_name: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
+    """Incoming rows with `matched_key`, from the stored keys: domain and m1, `named_cities`."""
+    step1 = balanced_left_join(incoming, by_domain, ["domain"], ["key"], hot_rows=None)
+    todo = _city_cols(step1).withColumn("name_key_", F.col("name_key")).withColumn(
         "name_key", F.when(F.col("m1").isNull(), F.col("name_key"))
     )
     step2 = balanced_left_join(
-        todo, by_name, ["name_key", "_city", "_no_city"], ["key"], hot_rows=hot_rows, hot_source=city_cols(incoming)
+        todo, by_name, ["name_key", "_city", "_no_city"], ["key"], hot_rows=hot_rows, hot_source=_city_cols(incoming)
     )
     return (
         step2.withColumn("matched_key", F.coalesce("m1", "m2"))

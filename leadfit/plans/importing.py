@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from leadfit.operators.merging import dedupe_merge, upsert_leads
 from leadfit.sources.lead_files import canonical_rows, normalize_leads, scan_lead_files
+from leadfit.sources.lead_store import LeadStore
 from leadfit.sources.tables import VersionedTable
 
 
@@ -16,14 +17,17 @@ def merged_leads(raw: DataFrame) -> DataFrame:
     return dedupe_merge(normalize_leads(canonical_rows(raw)))
 
 
-def import_rows(table: VersionedTable, raw: DataFrame, batch_id: str, today: date, icp: dict | None = None) -> DataFrame:
-    """Merge a batch into the stored table and write its next version."""
+def import_rows(table: VersionedTable | LeadStore, raw: DataFrame, batch_id: str, today: date, icp: dict | None = None) -> DataFrame:
+    """Merge a batch into the stored table: a versioned table gets its next version, a store what the batch changes."""
+    if isinstance(table, LeadStore):
+        table.upsert(merged_leads(raw), batch_id, today, icp)
+        return table.read()
     batch_no = max(table.versions(), default=0) + 1  # old versions may have been removed
     return table.write(upsert_leads(table.read(), merged_leads(raw), batch_id, batch_no, today, icp))
 
 
 def import_csv(
-    spark: SparkSession, table: VersionedTable, path: str, batch_id: str, today: date, icp: dict | None = None,
+    spark: SparkSession, table: VersionedTable | LeadStore, path: str, batch_id: str, today: date, icp: dict | None = None,
     multi_line: bool = True,
 ) -> DataFrame:
     """Files known to have no quoted line breaks are read once with multi_line=False."""

@@ -10,19 +10,20 @@ from pyspark.sql.streaming import StreamingQuery
 
 from leadfit.plans.importing import import_rows
 from leadfit.sources.lead_files import scan_lead_files
+from leadfit.sources.lead_store import LeadStore
 from leadfit.sources.tables import VersionedTable
 
 
 def incremental_import(
-    spark: SparkSession, folder: str, table: VersionedTable, checkpoint: str, today: date, files_per_batch: int | None = None,
+    spark: SparkSession, folder: str, table: VersionedTable | LeadStore, checkpoint: str, today: date, files_per_batch: int | None = None,
     multi_line: bool = True,
 ) -> StreamingQuery:
     """Every new CSV file in `folder` goes through import and upsert; ends when none is left.
 
     The stream only says which files are new; each is then read by its own header and delimiter. The
     upsert makes a file that is delivered twice add nothing, whatever the checkpoint knows. Files
-    that wait together are merged as one batch unless `files_per_batch` says otherwise; each batch
-    writes a new version of the table, so few large batches are cheaper. Files
+    that wait together are merged as one batch unless `files_per_batch` says otherwise. In a versioned
+    table each batch writes all leads anew; a lead store writes only what the batch changes. Files
     known to have no quoted line breaks are read once with `multi_line=False`.
     """
     reader = spark.readStream
