@@ -68,14 +68,17 @@ def test_a_small_batch_writes_little(stores):
     assert 0 < sizes[1] <= 3 * batches[1].count() and sizes[1] < sizes[0] / 20
 
 
-def test_a_batch_that_comes_again_writes_no_rows(spark, stores, tmp_path):
+def test_batches_that_come_again(spark, stores, tmp_path):
+    """As in the rewritten table; and rows that are known by their domains alone write nothing the second time."""
     root, table, batches, _ = stores
     store = LeadStore(spark, root).compacted(str(tmp_path))
-    before = written(tmp_path)
     store.upsert(batches[2], "again", DAY)
-    fresh = [f for f in written(tmp_path) if f not in before]
-    assert not fresh and store.versions() == [3, 4]
-    assert rows_of(store.read()) == rows_of(table)
+    assert store.versions() == [3, 4] and rows_of(store.read()) == rows_of(upsert_leads(table, batches[2], "again", 4, DAY))
+    known = batch(spark, [(k, f"Other {k}", f"s{k}.test", "Town", None, None, None, None, None, None, None) for k in range(40)])
+    store.upsert(known, "b5", DAY)
+    before = written(tmp_path)
+    store.upsert(known, "b6", DAY)
+    assert set(written(tmp_path)) == set(before) and store.versions() == [3, 4, 5, 6]
 
 
 def test_unfinished_batches_are_not_read(spark, stores):
