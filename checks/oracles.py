@@ -158,6 +158,7 @@ O["dedupe_merge"] = f"SELECT key, ord, {', '.join(FIELDS)} FROM merged_all"
 O["import_report"] = f"""SELECT r.n AS rows_read, count(DISTINCT key) AS unique_in_file, count(*) - count(DISTINCT key) AS duplicates_in_file,
 r.n - count(*) AS skipped_missing_name, count(*) FILTER (WHERE domain IS NULL) AS missing_website
 FROM norm_all, (SELECT count(*) AS n FROM leads_raw) r GROUP BY r.n"""
+O["import_with_report"] = f"SELECT *, unique_in_file AS leads FROM ({O['import_report']})"
 _status = """count(*) AS total, count(*) FILTER (WHERE status = 'pending') AS pending, count(*) FILTER (WHERE status = 'enriched') AS enriched,
 count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status <> 'pending') AS reviewed"""
 _tiers = ", ".join(f"count(*) FILTER (WHERE status <> 'pending' AND tier = '{t}') AS tier_{t.lower()}" for t in "ABCD")

@@ -17,7 +17,7 @@ from leadfit.functions import signals as sg
 from leadfit.functions import text as tx
 from leadfit.operators import briefs, facets, filters, merging, pages, scoring, site_signals, views
 from leadfit.operators.contacts import enrich_contacts, enrich_status, fill_contacts, mx_join
-from leadfit.plans import enrichment
+from leadfit.plans import enrichment, importing
 from leadfit.plans.importing import import_rows, merged_leads
 from leadfit.sources import lead_files, page_tables, sinks
 from leadfit.sources.lead_store import LeadStore
@@ -472,6 +472,14 @@ def dedupe_merge(i):
     return merging.dedupe_merge(normalized(i))
 
 
+@query
+def import_with_report(i):
+    """The report that comes with an import into a new table."""
+    table = VersionedTable(i.spark, shared_dir(i.spark, "lead-table"))
+    leads, report = importing.import_with_report(table, raw(i), "b1", DAY)
+    return report.crossJoin(leads.agg(F.count(F.lit(1)).alias("leads")))  # one row each
+
+
 @query
 def import_report(i):
     rows = lead_files.canonical_rows(raw(i))

@@ -22,17 +22,29 @@ def first_filled(field: str, order: Column) -> Column:
     return F.coalesce(picked, F.min_by(value, order)) if field in ("name_key", "employees") else picked
 
 
-def dedupe_merge(rows: DataFrame) -> DataFrame:
+def dedupe_merge(rows: DataFrame, counts: bool = False) -> DataFrame:
     """One row per merge key; every field takes its first filled value in file order.
 
     min_by keeps one value per field and task, so a key with very many rows is collapsed before
-    the shuffle.
+    the shuffle. With counts, `n_rows` and `n_without_site` tell what went into each.
     """
+    counted = [F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("domain").isNull()).alias("n_without_site")] if counts else []
     return rows.groupBy("key").agg(
-        F.min("ord").alias("ord"), *[first_filled(f, F.col("ord")).alias(f) for f in LEAD_FIELDS]
+        F.min("ord").alias("ord"), *[first_filled(f, F.col("ord")).alias(f) for f in LEAD_FIELDS], *counted
     )
 
 
+def report_of_merged(merged: DataFrame) -> DataFrame:
+    """The row of `import_report` from what `dedupe_merge` made with counts of all rows, the nameless ones under no key."""
+    named = F.col("key").isNotNull()
+    none = F.lit(0).cast("long")
+    return merged.agg(
+        F.coalesce(F.sum("n_rows"), none).alias("rows_read"), F.count("key").alias("unique_in_file"),
+        F.coalesce(F.sum(F.when(named, F.col("n_rows") - 1)), none).alias("duplicates_in_file"),
+        F.coalesce(F.sum(F.when(~named, F.col("n_rows"))), none).alias("skipped_missing_name"),
+        F.coalesce(F.sum(F.when(named, F.col("n_without_site"))), none).alias("missing_website"))
+
+
 def import_report(canonical: DataFrame, normalized: DataFrame) -> DataFrame:
     """One row of import counts."""
     def row(**known):
