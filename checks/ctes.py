@@ -287,7 +287,7 @@ CTES["fetch_clean"] = f"""
 SELECT *, status BETWEEN 200 AND 299 AND NOT blocked AND length(html) > 0 AS ok FROM (
   SELECT * EXCLUDE (html), h AS html, {blocked('status', 'h')} AS blocked FROM (
     SELECT *, CASE WHEN coalesce(content_type, '') = '' OR contains(content_type, 'html')
-      THEN substr(html, 1, 1500000) ELSE '' END AS h FROM fetch_raw))"""
+      THEN html ELSE '' END AS h FROM fetch_raw))"""
 CTES["homes"] = f"""
 SELECT * FROM (
   SELECT *, {site_host('url')} AS dom, row_number() OVER (PARTITION BY {site_host('url')} ORDER BY

@@ -247,8 +247,7 @@ def fetch_ok(status: Column, blocked: Column, html: Column) -> Column:
     return F.coalesce(status.between(200, 299) & ~blocked & (F.length(html) > 0), F.lit(False))
 
 
-def html_only(html: Column, content_type: Column, keep: int | None = None) -> Column:
-    """Body when the type says html or nothing at all; else ''. `keep` cuts it to so many characters."""
-    body = F.substring(html, 1, keep) if keep else html
+def html_only(html: Column, content_type: Column) -> Column:
+    """The whole body when the type says html or nothing at all; else ''."""
     wanted = F.coalesce(content_type, F.lit("")) == ""
-    return F.when(wanted | content_type.contains("html"), body).otherwise("")
+    return F.when(wanted | content_type.contains("html"), html).otherwise("")
