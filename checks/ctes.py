@@ -242,6 +242,7 @@ CTES["site_raw"] = _derived(dv.SITE_PAGES)
 CTES["fetch_raw"] = _derived(dv.PAGE_FETCHES, site_pages="site_raw")
 CTES["mx_hosts"] = _derived(dv.MX_HOSTS)
 CTES["lead_edits"] = _derived(dv.LEAD_EDITS)
+CTES["brand_table"] = _derived(dv.BRAND_TABLE)
 
 
 def stored_sql(src: str) -> str:

@@ -146,6 +146,13 @@ SELECT host, CASE WHEN k % 3 = 0 THEN TRUE WHEN k % 3 = 1 THEN FALSE ELSE NULL E
 )
 """
 
+# one brand for each customer, in an order of its own; some lie inside others ("heating 1" in "heating 12")
+BRAND_TABLE = f"""
+SELECT CAST({C.replace('o_', 'c_')} * 7919 % 1000003 AS BIGINT) AS ord,
+  {_pick('c_custkey', ["'Heating '", "'plumbing '", "'MAID OF TOWN '", "'ember dental '"])} || {_s('c_custkey')} AS brand
+FROM {{customer}}
+"""
+
 # edits of leads by the people in the event log; user ids stand for company numbers
 LEAD_EDITS = """
 SELECT user_id AS lead_no, event_id,
@@ -201,5 +208,8 @@ class Inputs:
     def mx_hosts(self) -> DataFrame:
         return self._sql(MX_HOSTS, orders=self.given("orders"))
 
+    def brand_table(self) -> DataFrame:
+        return self._sql(BRAND_TABLE, customer=self.given("customer"))
+
     def lead_edits(self) -> DataFrame:
         return self._sql(LEAD_EDITS, events=self.given("events"))

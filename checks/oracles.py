@@ -151,6 +151,9 @@ CAST(floor(weight / 45.0 * 100 + 0.5) AS INT) AS share_percent
 FROM region CROSS JOIN (VALUES {", ".join(f"('{k}')" for k in fv.COMPONENT_LABELS)}) t(k)"""
 O["cross_params"] = "SELECT lead_key, CAST(r_regionkey AS INT) AS icp_id, CAST(r_regionkey * 5 AS INT) AS min_years FROM stored_all, region"
 O["franchise_brand_join"] = f"SELECT ord, name, {first_brand('name')} AS brand FROM leads_raw"
+O["franchise_brand_table"] = """SELECT l.ord, l.name, b.brand FROM leads_raw l LEFT JOIN (
+  SELECT n.name, arg_min(lower(t.brand), t.ord) AS brand FROM (SELECT DISTINCT name FROM leads_raw) n
+  JOIN brand_table t ON contains(lower(n.name), lower(t.brand)) GROUP BY n.name) b ON l.name = b.name"""
 O["unmatched_site"] = "SELECT lead_key, domain, crawl_error AS error FROM enriched WHERE NOT reachable"
 
 # ---- aggregates
@@ -314,6 +317,8 @@ O["parse_brief_responses"] = "SELECT b.lead_key, CASE WHEN a.good THEN 'ai' WHEN
 O["write_snapshot_json"] = f"SELECT lead_key, score, tier, {BEST_IND} AS industry, industry AS raw_industry, notes FROM worked"
 O["store_fetches"] = """SELECT url, status, length(html) + CASE WHEN page_id % 2 = 1 THEN 6 + length(CAST(page_id AS STRING)) ELSE 0 END AS chars
 FROM fetch_raw WHERE status <> 0"""
+O["store_fetches_merged"] = O["store_fetches"]
+O["urls_to_refetch_stored"] = O["urls_to_refetch"]
 O["store_scores"] = "SELECT lead_key, score, tier, confidence, 7 AS components, len(flags) AS n_flags FROM scored"
 upsert_ctes("again", "upserted", "merged_after", 3)
 O["upsert_store"] = O["upsert_leads"]

@@ -16,10 +16,12 @@ from leadfit.functions import scoring as sc
 from leadfit.functions import signals as sg
 from leadfit.functions import text as tx
 from leadfit.operators import briefs, facets, filters, merging, pages, scoring, site_signals, views
+from leadfit.operators.brands import with_first_brand
 from leadfit.operators.contacts import enrich_contacts, enrich_status, fill_contacts, mx_join
 from leadfit.plans import enrichment, importing
 from leadfit.plans.importing import import_rows, merged_leads
 from leadfit.sources import lead_files, page_tables, sinks
+from leadfit.sources.fetch_store import FetchStore
 from leadfit.sources.lead_store import LeadStore
 from leadfit.sources.params import read_params
 from leadfit.sources.tables import VersionedTable, materialize, shared_dir
@@ -460,6 +462,11 @@ def franchise_brand_join(i):
     return raw(i).select("ord", "name", sg.first_brand(F.col("name")).alias("brand"))
 
 
+@query
+def franchise_brand_table(i):
+    return with_first_brand(raw(i), "name", i.brand_table(), ["ord"]).select("ord", "name", "brand")
+
+
 @query
 def unmatched_site(i):
     return enriched(i).where(F.col("status") == "failed").select("lead_key", "domain", "error")
@@ -886,16 +893,38 @@ def write_snapshot_json(i):
     return rows.join(raw_ind.withColumnRenamed("industry", "raw_industry"), "lead_key").join(details, "lead_key")
 
 
-@query
-def store_fetches(i):
+def fetched_again(i: Inputs) -> DataFrame:
+    """Every page once more: each second one later than before, the others earlier."""
     shift = F.expr("make_interval(0, 0, 0, 0, CAST(page_id % 2 AS INT) * 2 - 1)")
-    again = i.page_fetches().withColumn("fetched_at", F.col("fetched_at") + shift).withColumn(
+    return i.page_fetches().withColumn("fetched_at", F.col("fetched_at") + shift).withColumn(
         "html", F.concat("html", F.lit(" again"), F.col("page_id").cast("string")))
+
+
+@query
+def store_fetches(i):
     path = shared_dir(i.spark, "fetches")
-    sinks.write_fetches(i.page_fetches().unionByName(again), path)
+    sinks.write_fetches(i.page_fetches().unionByName(fetched_again(i)), path)
     return i.spark.read.parquet(path).select("url", "status", F.length("html").cast("bigint").alias("chars"))
 
 
+@query
+def store_fetches_merged(i):
+    """The same fetches as two batches, and the first once more, merged into a store."""
+    store = FetchStore(i.spark, shared_dir(i.spark, "fetch-store"), buckets=16)
+    for batch in (i.page_fetches(), fetched_again(i), i.page_fetches()):
+        store.upsert(batch)
+    return store.read().select("url", "status", F.length("html").cast("bigint").alias("chars"))
+
+
+@query
+def urls_to_refetch_stored(i):
+    """What is due by the heads of a store; no HTML is read."""
+    store = FetchStore(i.spark, shared_dir(i.spark, "fetch-store"), buckets=16)
+    store.upsert(i.page_fetches())
+    needed = i.site_pages().select("url").unionByName(i.given("pages").select("url"))
+    return pages.urls_to_refetch(needed, store.heads(), NOW)
+
+
 @query
 def store_scores(i):
     return sinks.store_scores(enriched(i), shared_dir(i.spark, "scores")).select(
