@@ -174,6 +174,10 @@ O["stage_counts"] = f"SELECT {_stages} FROM worked"
 O["signal_counts"] = f"SELECT {_sigs} FROM worked"
 O["stats"] = f"SELECT {_status}, {_tiers}, {_stages}, {_sigs} FROM worked"
 O["distinct_industries"] = f"SELECT DISTINCT {BEST_IND} AS industry FROM worked WHERE {BEST_IND} IS NOT NULL"
+O["stats_kept"], O["industries_kept"], O["snapshot_stats"] = O["stats"], O["distinct_industries"], O["stats"]
+O["snapshot_settings"] = """SELECT k AS icp_id, 'plumbing, ' || lower(r_name) AS industries, k * 4 AS employees_min,
+k * 40 + 20 AS employees_max, k * 5 AS min_years, 20 + k * 4 AS maturity, 10 - k * 2 AS upside, 15 - k * 2 AS size
+FROM (SELECT CAST(r_regionkey AS INT) AS k, r_name FROM region)"""
 O["job_progress"] = """SELECT batch_id, count(*) AS total, count(*) FILTER (WHERE st <> 'pending') AS done,
 count(*) FILTER (WHERE st = 'failed') AS failed, CASE WHEN bool_and(st <> 'pending') THEN 'finished' ELSE 'running' END AS status,
 CAST(floor(count(*) FILTER (WHERE st <> 'pending') / count(*)::DOUBLE * 100 + 0.5) AS INT) AS percent

@@ -21,6 +21,7 @@ from leadfit.operators.contacts import enrich_contacts, enrich_status, fill_cont
 from leadfit.plans import enrichment, importing
 from leadfit.plans.importing import import_rows, merged_leads
 from leadfit.sources import lead_files, page_tables, sinks
+from leadfit.sources.facet_counts import FacetCounts
 from leadfit.sources.fetch_store import FetchStore
 from leadfit.sources.lead_store import LeadStore
 from leadfit.sources.params import read_params
@@ -502,6 +503,36 @@ def stats(i):
     return facets.stats(worked(i))
 
 
+@stored("facet-counts")
+def kept_counts(i: Inputs) -> DataFrame:
+    """Counts kept up to date: all leads, then the edits in three portions by time, the last one delivered twice."""
+    counts = FacetCounts(i.spark, shared_dir(i.spark, "facet-counts"))
+    leads, every = enriched(i), materialize(edits(i), "edits")
+    counts.apply("import", None, leads)
+    cut = [F.lit(t) for t in every.agg(*[F.percentile_approx(F.unix_micros("edited_at"), p) for p in (0.3, 0.7)]).first()]
+    at = F.unix_micros("edited_at")
+    for name, portion in (("e1", at <= cut[0]), ("e2", (at > cut[0]) & (at <= cut[1])), ("e3", at > cut[1])):
+        part = every.where(portion)
+        keys = part.select("lead_key").distinct()
+        before = leads.join(keys, "lead_key", "left_semi")
+        after = materialize(views.apply_edits(before, part), "edited")
+        counts.apply(name, before, after)
+        if name == "e3":
+            counts.apply(name, before, after)
+        leads = materialize(leads.join(keys, "lead_key", "left_anti").unionByName(after), "leads-now")
+    return counts.read()
+
+
+@query
+def stats_kept(i):
+    return facets.stats_of_counts(kept_counts(i))
+
+
+@query
+def industries_kept(i):
+    return facets.industries_of_counts(kept_counts(i))
+
+
 @query
 def job_progress(i):
     outcomes = worked(i).select(
@@ -885,14 +916,36 @@ def export_crm_csv(i):
 
 @query
 def write_snapshot_json(i):
-    path = shared_dir(i.spark, "snapshot")
-    sinks.write_snapshot_json(worked(i), sweep(i), path)
+    path = snapshot_folder(i).first()["path"]
     rows = i.spark.read.schema("lead_key string, score int, tier string, industry string").json(f"{path}/leads")
     raw_ind = i.spark.read.schema("lead_key string, industry string").json(f"{path}/raw_industries")
     details = i.spark.read.schema("lead_key string, notes string").json(f"{path}/details")
     return rows.join(raw_ind.withColumnRenamed("industry", "raw_industry"), "lead_key").join(details, "lead_key")
 
 
+@stored("snapshot-folder")
+def snapshot_folder(i: Inputs) -> DataFrame:
+    path = shared_dir(i.spark, "snapshot")
+    sinks.write_snapshot_json(worked(i), sweep(i), path)
+    return i.spark.createDataFrame([(path,)], "path string")
+
+
+@query
+def snapshot_stats(i):
+    """The counts of a snapshot as its reader finds them."""
+    names = facets.stats(worked(i)).columns
+    return i.spark.read.schema(", ".join(f"{c} long" for c in names)).json(f"{snapshot_folder(i).first()['path']}/stats")
+
+
+@query
+def snapshot_settings(i):
+    """The buy boxes of a snapshot as its reader finds them."""
+    schema = "icp_id int, target_industries array<string>, employees_min int, employees_max int, min_years int, weights map<string,int>"
+    rows = i.spark.read.schema(schema).json(f"{snapshot_folder(i).first()['path']}/settings")
+    return rows.select("icp_id", F.lower(joined("target_industries")).alias("industries"), "employees_min", "employees_max", "min_years",
+                       *[F.col("weights")[w].alias(w) for w in ("maturity", "upside", "size")])
+
+
 def fetched_again(i: Inputs) -> DataFrame:
     """Every page once more: each second one later than before, the others earlier."""
     shift = F.expr("make_interval(0, 0, 0, 0, CAST(page_id % 2 AS INT) * 2 - 1)")

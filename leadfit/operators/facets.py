@@ -65,6 +65,49 @@ def distinct_industries(leads: DataFrame) -> DataFrame:
     )
 
 
+def facet_rows(leads: DataFrame) -> DataFrame:
+    """facet, value: one row for each count a lead stands in; values of total and the two signals are empty."""
+    def when(cond: Column, facet: str, value: Column = F.lit("")) -> Column:
+        return F.when(cond, F.struct(F.lit(facet).alias("facet"), value.alias("value")))
+
+    done, industry = F.col("status") != "pending", best_industry()
+    held = F.array(
+        when(F.lit(True), "total"), when(F.col("status").isNotNull(), "status", F.col("status")),
+        when(done & F.col("tier").isNotNull(), "tier", F.col("tier")), when(F.col("stage").isNotNull(), "stage", F.col("stage")),
+        when(owner_transition(), "owner_transition"), when(has_direct_email(), "direct_email"),
+        when(industry.isNotNull(), "industry", industry),
+    )
+    return leads.select(F.explode(F.array_compact(held)).alias("f")).select("f.*")
+
+
+def facet_deltas(before: DataFrame | None, after: DataFrame) -> DataFrame:
+    """facet, value, n: how the counts change when leads in the states of `before` take those of `after`.
+
+    Inserted leads stand in `after` alone, deleted ones in `before` alone.
+    """
+    signed = facet_rows(after).withColumn("n", F.lit(1).cast("bigint"))
+    if before is not None:
+        signed = signed.unionByName(facet_rows(before).withColumn("n", F.lit(-1).cast("bigint")))
+    return signed.groupBy("facet", "value").agg(F.sum("n").alias("n")).where(F.col("n") != 0)
+
+
+def stats_of_counts(counts: DataFrame) -> DataFrame:
+    """The row of `stats` from facet counts (facet, value, n)."""
+    def n(facet: str, *values: str) -> Column:
+        return F.coalesce(F.sum(F.when((F.col("facet") == facet) & F.col("value").isin(*values), F.col("n"))), F.lit(0).cast("bigint"))
+
+    return counts.agg(
+        n("total", "").alias("total"), *[n("status", s).alias(s) for s in fv.STATUSES], n("status", "enriched", "failed").alias("reviewed"),
+        *[n("tier", t).alias(f"tier_{t.lower()}") for t in fv.TIER_LABELS], *[n("stage", s).alias(f"stage_{s}") for s in fv.STAGES],
+        n("owner_transition", "").alias("owner_transition"), n("direct_email", "").alias("direct_email"),
+    )
+
+
+def industries_of_counts(counts: DataFrame) -> DataFrame:
+    """The rows of `distinct_industries` from facet counts."""
+    return counts.where((F.col("facet") == "industry") & (F.col("n") > 0)).select(F.col("value").alias("industry")).orderBy("industry")
+
+
 def job_progress(outcomes: DataFrame) -> DataFrame:
     """outcomes(batch_id, status) -> total, done, failed, status, percent per batch."""
     done = F.count_if(F.col("status") != "pending")

@@ -64,6 +64,15 @@ class LeadStore:
         done = self._batches()
         return self._current(done) if done else None
 
+    def changes(self, batch_no: int) -> tuple[DataFrame, DataFrame]:
+        """The leads a batch changed as they were, and those it changed or inserted as they became. Input of `facet_deltas`."""
+        done = self._batches()
+        own = [r for r in done if r["batch_no"] == batch_no]
+        updated = self._part("updated", own)
+        earlier = [r for r in done if r["batch_no"] < batch_no]
+        before = self._current(earlier, self._touched(updated, "lead_key")).join(updated.select("lead_key"), "lead_key", "left_semi")
+        return before.select(*LEAD_TABLE), self._part("inserted", own).unionByName(updated).select(*LEAD_TABLE)
+
     def _touched(self, rows: DataFrame, key: str) -> list[int]:
         """Buckets of the keys that occur: at most `buckets` numbers."""
         return [r["b"] for r in rows.where(F.col(key).isNotNull()).select(self._bucket(key).alias("b")).distinct().collect()]

@@ -24,14 +24,6 @@ def export_crm_csv(leads: DataFrame, path: str, single_file: bool = False) -> No
         .option("emptyValue", "").csv(path)
 
 
-def snapshot_rows(leads: DataFrame) -> DataFrame:
-    """lead_key and three JSON documents: list row, detail row, imported industry."""
-    lists = lead_view(leads).select("lead_key", F.to_json(F.struct("*")).alias("list_json"))
-    return lists.join(
-        lead_detail(leads).select("lead_key", F.to_json(F.struct("*")).alias("detail_json")), "lead_key"
-    ).join(leads.select("lead_key", F.col("industry").alias("raw_industry")), "lead_key")
-
-
 def write_snapshot_json(leads: DataFrame, params: DataFrame, path: str) -> None:
     """leads/, details/ and raw_industries/ as JSON lines, stats/ and settings/ as one document each."""
     leads = materialize(leads, "snapshot-leads")  # read five times
