@@ -109,6 +109,8 @@ _F = {
 }
 for _k, _c in _F.items():
     O[_k] = f"SELECT {_KEPT} FROM worked WHERE {_c}"
+O["search_text_indexed"], O["search_text_literal_indexed"] = O["search_text"], O["search_text_literal"]
+O["search_text_short_indexed"] = f"SELECT {_KEPT} FROM worked WHERE name LIKE '%_1%' OR domain LIKE '%_1%' OR city LIKE '%_1%'"
 O["select_for_enrichment"] = """SELECT lead_key, name, 'pending' AS status FROM worked WHERE state IS NULL AND domain IN (
 SELECT 's' || CAST(lead_no AS STRING) || '.test' FROM lead_edits)"""
 O["enrich_selected"] = """SELECT lead_key, CASE WHEN touched IS NULL THEN 'pending' ELSE status END AS status,

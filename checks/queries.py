@@ -25,6 +25,7 @@ from leadfit.sources.facet_counts import FacetCounts
 from leadfit.sources.fetch_store import FetchStore
 from leadfit.sources.lead_store import LeadStore
 from leadfit.sources.params import read_params
+from leadfit.sources.search_index import SearchIndex
 from leadfit.sources.tables import VersionedTable, materialize, shared_dir
 from leadfit.streaming.incremental import incremental_import
 
@@ -272,6 +273,28 @@ _filter_query("status_eq", status="failed")
 _filter_query("combined_filters", q="s", tiers="B,C,D", min_score_=20, has_email=True, stage="new,passed")
 
 
+@stored("search-index-folder")
+def search_folder(i: Inputs) -> DataFrame:
+    """The leads of the first batch and all as they are now, indexed one after the other."""
+    path = shared_dir(i.spark, "search-index")
+    for rows in (imported_before(i), worked(i)):
+        SearchIndex(i.spark, path, buckets=16).add(rows)
+    return i.spark.createDataFrame([(path,)], "path string")
+
+
+def _index_query(name: str, q: str, literal: bool = False) -> None:
+    def run(spark, folder):
+        i = Inputs(spark, folder)
+        index = SearchIndex(spark, search_folder(i).first()["path"])
+        return _kept(worked(i).join(index.search(q, literal), "lead_key", "left_semi"))
+    QUERIES[name] = run
+
+
+_index_query("search_text_indexed", "Alder%1")
+_index_query("search_text_literal_indexed", "NATION_1", literal=True)
+_index_query("search_text_short_indexed", "_1")
+
+
 @query
 def select_for_enrichment(i):
     status = F.when(F.col("state").isNull(), "pending").otherwise(F.col("status"))
