@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leadfit import fixed_values as fv
 from leadfit.functions.html import is_blocked, site_host, url_path
+from leadfit.operators.skew import balanced_left_join
 from leadfit.schemas import PAGE_FETCHES
 
 
@@ -53,14 +54,16 @@ def scan_recorded_sites(spark: SparkSession, path: str, whole_file: bool = False
     return recorded_pages(spark.read.text(path, wholetext=whole_file))
 
 
-def recorded_fetches(urls: DataFrame, pages: DataFrame, sites: DataFrame) -> DataFrame:
+def recorded_fetches(urls: DataFrame, pages: DataFrame, sites: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
     """Fetch results of urls(url) answered from recorded sites.
 
-    Unknown host: status 0 and an error. Unknown path: 404.
+    Unknown host: status 0 and an error. Unknown path: 404. Hosts are looked up in the narrow table of sites first, with
+    hot ones split; HTML moves in the last join only, by page, where a page under many urls is split too. Urls are distinct.
     """
     bare = F.regexp_replace(url_path(F.col("url")), "/+$", "")
     asked = urls.withColumns({"host": site_host(F.col("url")), "path": F.when(bare == "", "/").otherwise(bare)})
-    found = asked.join(sites, "host", "left").join(pages, ["host", "path"], "left")
+    known_hosts = balanced_left_join(asked, sites, ["host"], ["url"], hot_rows)
+    found = balanced_left_join(known_hosts, pages.select("host", "path", "html"), ["host", "path"], ["url"], hot_rows, hot_source=asked)
     known, present = F.col("status").isNotNull(), F.col("html").isNotNull()
     status = F.when(~known, 0).when(~present, 404).otherwise(F.col("status"))
     final = F.when(known & present, F.concat(

@@ -145,6 +145,18 @@ def test_industry_ties_and_minimum(each):
     assert got == ["HVAC", None, "Dental", None]
 
 
+def test_recorded_sites_with_a_hot_host(spark):
+    """Split hosts and pages answer as unsplit ones do, urls without a host too."""
+    from leadfit.sources.page_tables import recorded_fetches, recorded_pages
+
+    pages, sites = recorded_pages(spark.createDataFrame([('{"hot.test": {"/": "home", "/a": "page a"}, "b.test": {"__status__": "403", "/": "no"}}',)], "value string"))
+    asked = [f"https://hot.test/{'a' if k % 3 else ''}?k={k}" for k in range(40)] + ["https://b.test/", "https://c.test/", "https://hot.test/z", "no url"]
+    urls = spark.createDataFrame([(u,) for u in asked], "url string")
+    split, whole = (sorted((tuple(r) for r in recorded_fetches(urls, pages, sites, n).collect()), key=repr) for n in (4, 1_000_000))
+    assert split == whole and sorted(r[0] for r in split) == sorted(asked)
+    assert {r[3] for r in split if "hot.test/a" in r[0]} == {"page a"} and [r[1] for r in split if r[0] == "https://hot.test/z"] == [404]
+
+
 def test_recorded_sites(spark):
     from leadfit.sources.page_tables import recorded_fetches, recorded_pages
     lines = [json.dumps({"oak.test": {"/": "home", "/about": "a"}}), json.dumps({"wall.test": {"/": "captcha"}}),
