@@ -325,6 +325,10 @@ O["store_fetches"] = """SELECT url, status, length(html) + CASE WHEN page_id % 2
 FROM fetch_raw WHERE status <> 0"""
 O["store_fetches_merged"] = O["store_fetches"]
 O["urls_to_refetch_stored"] = O["urls_to_refetch"]
+O["urls_to_refetch_stream"] = f"""SELECT url FROM (SELECT url FROM site_raw UNION SELECT url FROM pages) EXCEPT
+SELECT url FROM fetch_raw WHERE fetched_at + INTERVAL 1 HOUR * (page_id % 2) >= TIMESTAMP '{dv.AS_OF}' - INTERVAL 72 HOUR
+  AND status NOT IN (0, 429, 500, 502, 503, 504)"""
+O["apply_edits_stream"] = O["apply_edits"]
 O["store_scores"] = "SELECT lead_key, score, tier, confidence, 7 AS components, len(flags) AS n_flags FROM scored"
 upsert_ctes("again", "upserted", "merged_after", 3)
 O["upsert_store"] = O["upsert_leads"]

@@ -27,7 +27,9 @@ from leadfit.sources.lead_store import LeadStore
 from leadfit.sources.params import read_params
 from leadfit.sources.search_index import SearchIndex
 from leadfit.sources.tables import VersionedTable, materialize, shared_dir
+from leadfit.streaming.edits import collect_edits, latest_edits
 from leadfit.streaming.incremental import incremental_import
+from leadfit.streaming.refetch import due_urls, follow_fetches
 
 DAY = date.fromisoformat(TODAY)
 NOW = datetime.fromisoformat(AS_OF)
@@ -1024,6 +1026,37 @@ def incremental_import_stream(i):
         F.count(F.lit(1)).alias("leads"), F.count_distinct("domain").alias("domains"))
 
 
+def arrivals(i: Inputs, parts: list[DataFrame], files_per_batch: int) -> DataFrame:
+    """Tables as files that arrive one after another, read as a stream."""
+    folder = shared_dir(i.spark, "arrivals")
+    for part in parts:
+        part.write.mode("append").parquet(folder)
+    return i.spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+
+
+@query
+def urls_to_refetch_stream(i):
+    """What is due after a stream of all fetches, each twice and the later one not always last, and a tick of the clock."""
+    tick = i.spark.range(1).select(F.lit(None).cast("string").alias("url"), F.lit(0).alias("status"), F.lit(NOW).alias("fetched_at"))
+    heads = [f.select("url", F.col("status").cast("int").alias("status"), F.col("fetched_at").cast("timestamp").alias("fetched_at"))
+             for f in (fetched_again(i), i.page_fetches(), tick)]
+    log = shared_dir(i.spark, "turns")
+    follow_fetches(arrivals(i, heads, 4), log, shared_dir(i.spark, "stream-state")).awaitTermination()
+    needed = i.site_pages().select("url").unionByName(i.given("pages").select("url"))
+    return due_urls(needed, i.spark.read.parquet(log))
+
+
+@query
+def apply_edits_stream(i):
+    """Edits that arrive in no order of time, in three batches at least."""
+    rows = edits(i).select("lead_key", F.col("edited_at").cast("timestamp").alias("edited_at"), "stage", "notes")
+    turn = F.pmod(F.xxhash64("lead_key", "edited_at"), F.lit(3))
+    parts = [rows.where(turn == n).coalesce(4) for n in range(3)]
+    log = shared_dir(i.spark, "edit-log")
+    collect_edits(arrivals(i, parts, 4), log, shared_dir(i.spark, "stream-state"), lateness="40 days", span="1 day").awaitTermination()
+    return views.apply_edits(enriched(i), latest_edits(i.spark, log)).select("lead_key", "stage", "notes")
+
+
 @query
 def import_batches(i):
     """Two batches and a repeat of the second through the versioned table."""
