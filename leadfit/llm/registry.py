@@ -99,7 +99,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def _licence_sql() -> str:
-    """The sentence rules in SQL: sentences as rows, known forms as a table, rules one after another over the sequence."""
+    """The sentence rules in SQL: parts of sentences as rows, joined to known forms part by part, rules one after another over
+    the sequence."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     known = ", ".join(f"({quoted(s)}, {quoted(name)})" for name, forms in licenses.SENTENCES.items() for s in forms)
     steps = ["l0 AS (SELECT doc_id, n, ids, coalesce(line, '') AS line, '' AS found FROM lines)"]
@@ -109,15 +110,38 @@ def _licence_sql() -> str:
         steps.append(
             f"l{k + 1} AS (SELECT doc_id, n, ids, replace(line, {mark}, ' | ') AS line, CASE WHEN contains(line, {mark}) AND NOT contains(' ' || found, ' ' || {name})"
             f" THEN found || {name} ELSE found END AS found FROM l{k})")
+    # sentence ends: runs of . ! ? ; : before white space; pure ; and : may also go on, as single line breaks may
+    text = "translate(lower(coalesce(text, '')), chr(1) || chr(3), chr(2) || chr(2))"
+    for pattern, to in (
+        (r"(?:^|\r\n|\r|\n)[^a-z0-9+.\r\n]*(?:\.\\\"[^a-z0-9+.\r\n]*)?", "chr(10)"),
+        (r"\n{2,}", "chr(1)"),
+        (r"([.!?;:]+)([ \t\n\x0b\f\r\x01]|[\x{85}\x{2028}\x{2029}]?$)", r"chr(3) || '\1' || chr(3) || '\2'"),
+        (r"\x03[;:]+\x03", "chr(10)"), (r"\x03[^\x03]*\x03", "chr(1)"), (r"[^a-z0-9+.\n\x01]+", "' '"),
+    ):
+        text = f"regexp_replace({text}, {quoted(pattern)}, {to}, 'g')"
     return f"""
-WITH known(form, name) AS (VALUES {known}),
+WITH RECURSIVE known(form, name) AS (VALUES {known}),
+heads AS (SELECT DISTINCT array_to_string(string_split(form, ' ')[1:k], ' ') AS head
+          FROM (SELECT form, unnest(generate_series(1, len(string_split(form, ' ')))) AS k FROM known)),
 docs AS (SELECT row_number() OVER () AS n, doc_id, text FROM documents),
-parts AS (
-    SELECT n, unnest(string_split_regex(lower(coalesce(text, '')), '[.!?;:]+(?:[ \t\v\f]|$)|[.!?;:]*[\r\n]+')) AS part,
-           generate_subscripts(string_split_regex(lower(coalesce(text, '')), '[.!?;:]+(?:[ \t\v\f]|$)|[.!?;:]*[\r\n]+'), 1) AS place
-    FROM docs
+blocks AS (SELECT n, string_split({text}, chr(1)) AS split FROM docs),
+pieces AS (SELECT n, seg, string_split(block, chr(10)) AS split
+           FROM (SELECT n, unnest(split) AS block, generate_subscripts(split, 1) AS seg FROM blocks)),
+parts AS (SELECT n, seg, part, row_number() OVER (PARTITION BY n ORDER BY seg, k) AS pos
+          FROM (SELECT n, seg, trim(unnest(split)) AS part, generate_subscripts(split, 1) AS k FROM pieces) WHERE part <> ''),
+-- parts that go on from one another as long as they begin a known sentence
+runs AS (
+    SELECT n, seg, pos AS low, pos AS high, part AS run FROM parts SEMI JOIN heads ON part = head
+    UNION ALL
+    SELECT n, seg, low, pos, run || ' ' || part FROM runs JOIN parts USING (n, seg) WHERE pos = high + 1 AND run || ' ' || part IN (SELECT head FROM heads)
+), whole AS (
+    SELECT n, low, max(high) AS high, arg_max(name, high) AS name FROM runs JOIN known ON run = form GROUP BY n, low
+), after AS (
+    SELECT w.n, w.low, w.high, any_value(w.name) AS name, min(v.low) AS next FROM whole w LEFT JOIN whole v ON v.n = w.n AND v.low > w.high GROUP BY w.n, w.low, w.high
 ), hits AS (
-    SELECT n, place, name FROM parts JOIN known ON trim(regexp_replace(part, '[^a-z0-9+.]+', ' ', 'g')) = form
+    SELECT n, low AS place, name, next FROM after WHERE (n, low) IN (SELECT (n, min(low)) FROM whole GROUP BY n)
+    UNION ALL
+    SELECT a.n, a.low, a.name, a.next FROM hits JOIN after a ON a.n = hits.n AND a.low = hits.next
 ), lines AS (
     SELECT docs.n, docs.doc_id, string_agg(name, ' ' ORDER BY place) AS ids, string_agg(' ' || name || ' ', '' ORDER BY place) AS line
     FROM docs LEFT JOIN hits ON docs.n = hits.n GROUP BY docs.n, docs.doc_id

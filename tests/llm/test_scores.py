@@ -1,9 +1,12 @@
 """Classifiers and rules: held-out accuracy on the given labels, and the odd cases."""
 
+import random
 import re
+import time
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 from leadfit.llm import quality, rules, toxicity
 from leadfit.llm.common import id_remainder
 from leadfit.llm.licenses import RULES, SENTENCES, applied, scan_licences
-from leadfit.llm.registry import op2_quality_classifier, op5_toxicity, op6_quality_rules
+from leadfit.llm.registry import ORACLES, op2_quality_classifier, op4_license_scans, op5_toxicity, op6_quality_rules
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -234,3 +237,33 @@ def test_wrapped_licences(documents, mark, end):
     }
     rows = scan_licences(documents([(i, end.join((mark + x).rstrip() for x in w[0].split("\n"))) for i, w in want.items()])).collect()
     assert {r["doc_id"]: ([*r["sentence_ids"]], [*r["licences"]], [*r["unmatched"]]) for r in rows} == {i: w[1:] for i, w in want.items()}
+
+
+def wrapped_at_random(rng, text):
+    """The text with other line breaks, comment marks and stops."""
+    words = text.split()
+    between = [" ", " ", " ", " ", " ", " ", "\n", "\r\n", "\n# ", "\n * ", "\n.\\\" ", "; ", ": ", "  ", "\n\n", ". ", ";. ", "; ; ", "\x0b", ";\n"]
+    return "".join(w + rng.choice(between[:rng.choice([6, 8, 12, len(between)])]) for w in words) + rng.choice(["", ".", "\n", ";", ".\u2028"])
+
+
+def test_licence_query_as_sql_on_wrapped_texts(spark, documents, odd, tmp_path):
+    rng = random.Random(4)
+    known = [s for forms in SENTENCES.values() for s in forms]
+    texts = [wrapped_at_random(rng, rng.choice([MIT, APACHE, BSD, GPL])) for _ in range(300)]
+    texts += [wrapped_at_random(rng, "\n".join(rng.choices(known, k=rng.randrange(1, 9)))) for _ in range(700)]
+    texts += [". ".join(rng.choices(known, k=40)) + "\n".join(rng.choices(known, k=40)), "\x01\x03; \x03. mit license\x01", "The MIT License\nMIT", "MIT\nLicense\nthe mit license."]
+    documents([*enumerate(texts, 1000)]).union(odd).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((str(tuple(r[c] for c in ("doc_id", "sentence_ids", "licences", "unmatched"))) for r in op4_license_scans(spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(str(r) for r in con.execute(ORACLES["op4_license_scans"]).fetchall())
+    assert got == want
+    assert sum("''" not in x.split(", ")[1] for x in want) > 600
+
+
+@pytest.mark.parametrize("unit", ["licensed under the mit\n", "licens ", "permission is hereby granted free of charge\n# ", "\nlicense\r\n", "/// copyright "])
+def test_very_long_licence_texts_take_seconds(documents, unit):
+    text = unit * (1_000_000 // len(unit)) + "\n\nReleased under the\n# MIT License."
+    start = time.time()
+    found = scan_licences(documents([(1, text)])).first()
+    assert found["licences"] == ["MIT"] and time.time() - start < 20
