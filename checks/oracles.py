@@ -337,6 +337,9 @@ O["import_batches"] = "SELECT batch_id, count(*) AS leads, count(domain) AS with
 O["incremental_import_stream"] = """SELECT domain IS NOT NULL AS has_domain, count(*) AS leads, count(DISTINCT domain) AS domains
 FROM merged_all GROUP BY 1"""
 
+O["incremental_import_store"] = """SELECT 'stream-' || CAST(CAST(substr(batch_id, 2) AS INT) - 1 AS STRING) AS batch_id,
+count(*) AS leads, count(domain) AS with_domain FROM again_upserted GROUP BY 1"""
+
 
 def all_oracles() -> dict[str, str]:
     return {name: with_ctes(sql) for name, sql in ORACLES.items()}

@@ -1010,15 +1010,22 @@ def store_scores(i):
         F.size("flags").alias("n_flags"))
 
 
+LEAD_FIELD_NAMES = list(fv.HEADER_ALIASES)
+LEAD_FILE_HEADS = [(",", LEAD_FIELD_NAMES), (";", LEAD_FIELD_NAMES[::-1]), ("\t", sorted(LEAD_FIELD_NAMES))]
+
+
+def lead_files_arrive(i: Inputs, folder: str, part: str, sep: str, order: list[str]) -> None:
+    # files in the order of rows, which decides between equal ones
+    raw(i, part).orderBy("ord").select(*[F.col(f).alias(fv.HEADER_ALIASES[f][0].upper()) for f in order]).write.mode("append") \
+        .option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').csv(folder)
+
+
 @query
 def incremental_import_stream(i):
     """Both halves of the lead list and a repeat of the first arrive as files."""
     folder = shared_dir(i.spark, "arrivals")
-    fields = list(fv.HEADER_ALIASES)
-    heads = [(",", fields), (";", fields[::-1]), ("\t", sorted(fields))]
-    for part, (sep, order) in zip(("before", "after", "before"), heads):
-        raw(i, part).select(*[F.col(f).alias(fv.HEADER_ALIASES[f][0].upper()) for f in order]).write.mode("append") \
-            .option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').csv(folder)
+    for part, (sep, order) in zip(("before", "after", "before"), LEAD_FILE_HEADS):
+        lead_files_arrive(i, folder, part, sep, order)
     table = VersionedTable(i.spark, shared_dir(i.spark, "lead-table"))
     incremental_import(i.spark, folder, table, shared_dir(i.spark, "stream-state"), DAY) \
         .awaitTermination()
@@ -1026,6 +1033,17 @@ def incremental_import_stream(i):
         F.count(F.lit(1)).alias("leads"), F.count_distinct("domain").alias("domains"))
 
 
+@query
+def incremental_import_store(i):
+    """Files that arrive one half after the other, the second twice; each batch writes only what it changes."""
+    folder, state = shared_dir(i.spark, "arrivals"), shared_dir(i.spark, "stream-state")
+    store = LeadStore(i.spark, shared_dir(i.spark, "lead-store"), buckets=16)
+    for part, (sep, order) in zip(("before", "after", "after"), LEAD_FILE_HEADS):
+        lead_files_arrive(i, folder, part, sep, order)
+        incremental_import(i.spark, folder, store, state, DAY).awaitTermination()
+    return store.read().groupBy("batch_id").agg(F.count(F.lit(1)).alias("leads"), F.count("domain").alias("with_domain"))
+
+
 def arrivals(i: Inputs, parts: list[DataFrame], files_per_batch: int) -> DataFrame:
     """Tables as files that arrive one after another, read as a stream."""
     folder = shared_dir(i.spark, "arrivals")
