@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,41 +35,45 @@ def refetch_events(fetches: DataFrame) -> DataFrame:
     timed = timed.where(F.col("fetched_ms").isNotNull()).withColumn("fresh_until", F.timestamp_millis(F.col("fetched_ms") + FRESH_MS))
     # fresh until the very end of the 72 hours, so the clock stands one millisecond back
     clocked = timed.withWatermark("fresh_until", f"{FRESH_MS + 1} milliseconds")
-    turns = clocked.groupBy("url").applyInPandasWithState(_turns, EVENT, "fetched_ms long, status int", "append", GroupStateTimeout.EventTimeTimeout)
+    find = _turn_finder(FRESH_MS, frozenset(fv.RETRY_STATUSES))
+    turns = clocked.groupBy("url").applyInPandasWithState(find, EVENT, "fetched_ms long, status int", "append", GroupStateTimeout.EventTimeTimeout)
     return turns.select("url", "status", "reason", F.timestamp_millis("fetched_ms").alias("fetched_at"))
 
 
-def _turns(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    url = key[0]
-    kept = tuple(state.get) if state.exists else None
-    out = []
-    if state.hasTimedOut:
-        state.remove()
-        if kept[1] not in fv.RETRY_STATUSES:
-            out.append((url, *kept, "expired"))
-    else:
-        latest = kept
-        for chunk in chunks:
-            told = chunk[chunk["status"].notna() & (chunk["status"] != 0)]
-            if len(told):
-                top = told.sort_values(["fetched_ms", "status"]).iloc[-1]
-                found = (int(top["fetched_ms"]), int(top["status"]))
-                latest = found if latest is None else max(latest, found)
-        if url is not None and latest is not None:
-            retry = latest[1] in fv.RETRY_STATUSES
-            if latest != kept:
-                out.append((url, *latest, "retry" if retry else "usable"))
-            ends = latest[0] + FRESH_MS - 1
-            clock = state.getCurrentWatermarkMs()
-            if ends >= clock:
-                state.update(latest)
-                state.setTimeoutTimestamp(max(ends, clock + 1))  # a timer must lie ahead of the clock
-            else:  # out of date within the batch that brought it
-                if state.exists:
-                    state.remove()
-                if not retry:
-                    out.append((url, *latest, "expired"))
-    yield pd.DataFrame(out, columns=["url", "fetched_ms", "status", "reason"])
+def _turn_finder(fresh_ms: int, retry_statuses: frozenset[int]) -> Callable:
+    """The function of a url's state. It carries what it needs, so workers needn't import this package."""
+    def turns(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        url = key[0]
+        kept = tuple(state.get) if state.exists else None
+        out = []
+        if state.hasTimedOut:
+            state.remove()
+            if kept[1] not in retry_statuses:
+                out.append((url, *kept, "expired"))
+        else:
+            latest = kept
+            for chunk in chunks:
+                told = chunk[chunk["status"].notna() & (chunk["status"] != 0)]
+                if len(told):
+                    top = told.sort_values(["fetched_ms", "status"]).iloc[-1]
+                    found = (int(top["fetched_ms"]), int(top["status"]))
+                    latest = found if latest is None else max(latest, found)
+            if url is not None and latest is not None:
+                retry = latest[1] in retry_statuses
+                if latest != kept:
+                    out.append((url, *latest, "retry" if retry else "usable"))
+                ends, clock = latest[0] + fresh_ms - 1, state.getCurrentWatermarkMs()
+                if ends >= clock:
+                    state.update(latest)
+                    state.setTimeoutTimestamp(max(ends, clock + 1))  # a timer must lie ahead of the clock
+                else:  # out of date within the batch that brought it
+                    if state.exists:
+                        state.remove()
+                    if not retry:
+                        out.append((url, *latest, "expired"))
+        yield pd.DataFrame(out, columns=["url", "fetched_ms", "status", "reason"])
+
+    return turns
 
 
 def follow_fetches(fetches: DataFrame, log: str, checkpoint: str) -> StreamingQuery:
