@@ -7,6 +7,7 @@ from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from checks.derived import AS_OF, BATCH_CUT, TODAY, Inputs
 from leadfit import fixed_values as fv
@@ -1044,12 +1045,12 @@ def incremental_import_store(i):
     return store.read().groupBy("batch_id").agg(F.count(F.lit(1)).alias("leads"), F.count("domain").alias("with_domain"))
 
 
-def arrivals(i: Inputs, parts: list[DataFrame], files_per_batch: int) -> DataFrame:
-    """Tables as files that arrive one after another, read as a stream."""
+def follow_arrivals(i: Inputs, parts: list[DataFrame], follow: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Tables that arrive one after another; the stream takes up each as it is there."""
     folder = shared_dir(i.spark, "arrivals")
     for part in parts:
         part.write.mode("append").parquet(folder)
-    return i.spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+        follow(i.spark.readStream.schema(part.schema).parquet(folder)).awaitTermination()
 
 
 @query
@@ -1058,20 +1059,20 @@ def urls_to_refetch_stream(i):
     tick = i.spark.range(1).select(F.lit(None).cast("string").alias("url"), F.lit(0).alias("status"), F.lit(NOW).alias("fetched_at"))
     heads = [f.select("url", F.col("status").cast("int").alias("status"), F.col("fetched_at").cast("timestamp").alias("fetched_at"))
              for f in (fetched_again(i), i.page_fetches(), tick)]
-    log = shared_dir(i.spark, "turns")
-    follow_fetches(arrivals(i, heads, 4), log, shared_dir(i.spark, "stream-state")).awaitTermination()
+    log, state = shared_dir(i.spark, "turns"), shared_dir(i.spark, "stream-state")
+    follow_arrivals(i, heads, lambda fetches: follow_fetches(fetches, log, state))
     needed = i.site_pages().select("url").unionByName(i.given("pages").select("url"))
     return due_urls(needed, i.spark.read.parquet(log))
 
 
 @query
 def apply_edits_stream(i):
-    """Edits that arrive in no order of time, in three batches at least."""
+    """Edits that arrive in no order of time, in three batches."""
     rows = edits(i).select("lead_key", F.col("edited_at").cast("timestamp").alias("edited_at"), "stage", "notes")
     turn = F.pmod(F.xxhash64("lead_key", "edited_at"), F.lit(3))
-    parts = [rows.where(turn == n).coalesce(4) for n in range(3)]
-    log = shared_dir(i.spark, "edit-log")
-    collect_edits(arrivals(i, parts, 4), log, shared_dir(i.spark, "stream-state"), lateness="40 days", span="1 day").awaitTermination()
+    parts = [rows.where(turn == n) for n in range(3)]
+    log, state = shared_dir(i.spark, "edit-log"), shared_dir(i.spark, "stream-state")
+    follow_arrivals(i, parts, lambda found: collect_edits(found, log, state, lateness="40 days", span="1 day"))
     return views.apply_edits(enriched(i), latest_edits(i.spark, log)).select("lead_key", "stage", "notes")
 
 
