@@ -32,8 +32,8 @@ SHARE = 50  # percent of a candidate's occurrences inside a longer one, from whi
 TOP = 2000  # phrases of a language that are returned
 BYTES_AT_ONCE = 1 << 20  # text of a portion; a longer text is a portion of its own
 GROUP_BYTES = 4 << 20  # portions that a reading task holds at once
-ENTRIES_AT_ONCE = 1 << 19  # distinct phrases that a task holds before it sends them on
-PHRASES_OF_A_BUCKET = 1 << 21  # occurrences for each bucket of phrases that are added up together
+ENTRIES_AT_ONCE = 1 << 18  # distinct phrases that a task holds before it sends them on
+PHRASES_OF_A_BUCKET = 1 << 19  # occurrences for each bucket of phrases that are added up together
 PHRASES_OF_A_TRIE = 1 << 19  # bound of a broadcast trie
 FILTER_BITS = 26  # size of the bitmaps of frequent parts, 8 MB, whatever the corpus
 BLOCK_BITS = 12  # phrases whose sums are added up together
@@ -157,6 +157,15 @@ def summed(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return distinct, first, np.bincount(place, count, len(distinct)).astype(np.int64)
 
 
+def met(table: pa.Table, size: int, least: int) -> pa.Table:
+    """h1, h2, h3, key of the phrases of a bucket (blocks of hashes and counts) that occur at least `least` times."""
+    hashes = np.concatenate([np.frombuffer(x.as_py(), np.uint64).reshape(size, -1) for x in table.column("hashes")], axis=1)
+    key, first, count = summed(combined([*hashes]), np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in table.column("counts")]))
+    often = count >= least
+    columns = [hashes[i, first[often]] if i < size else np.zeros(int(often.sum()), np.uint64) for i in range(3)]
+    return pa.table([pa.array(c.view(np.int64)) for c in (*columns, key[often])], ["h1", "h2", "h3", "key"])
+
+
 def frequent_phrases(texts: DataFrame, size: int, filters: list, least: int, buckets: int) -> DataFrame:
     """(h1, h2, h3, key) of phrases of two or three words that occur at least `least` times and whose parts pass the
     filters (bitmaps of words, and for three words of pairs); h3 is 0 for pairs. Each task adds up what it reads and
@@ -207,15 +216,8 @@ def frequent_phrases(texts: DataFrame, size: int, filters: list, least: int, buc
         if held:
             yield flush()
 
-    def meet(table: pa.Table) -> pa.Table:
-        hashes = np.concatenate([np.frombuffer(x.as_py(), np.uint64).reshape(size, -1) for x in table.column("hashes")], axis=1)
-        key, first, count = summed(combined([*hashes]), np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in table.column("counts")]))
-        often = count >= least
-        columns = [hashes[i, first[often]] if i < size else np.zeros(int(often.sum()), np.uint64) for i in range(3)]
-        return pa.table([pa.array(c.view(np.int64)) for c in (*columns, key[often])], ["h1", "h2", "h3", "key"])
-
     blocks = texts.select("hashes", "wide", "codes").mapInArrow(run, schema)
-    return blocks.groupBy("bucket").applyInArrow(meet, "h1 long, h2 long, h3 long, key long")
+    return blocks.groupBy("bucket").applyInArrow(lambda table: met(table, size, least), "h1 long, h2 long, h3 long, key long")
 
 
 @dataclass(frozen=True)

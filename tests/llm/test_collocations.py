@@ -2,9 +2,11 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from checks.compare import _rows, oracle_connection
@@ -121,3 +123,17 @@ def test_query_as_sql_and_brute_force(spark):
     assert _rows(got.columns, got.collect()) == _rows([d[0] for d in rel.description], rel.fetchall())
     docs = con.execute("SELECT text, lang FROM documents").fetchall()
     assert found(got) == plain_collocations(docs)
+
+
+def test_memory_of_a_full_bucket():
+    """Two tasks of an executor add up a bucket each; what that takes beside the JVM must stay small, whatever the corpus."""
+    random_hashes = np.random.default_rng(1).integers(0, 1 << 63, (3, c.PHRASES_OF_A_BUCKET), np.uint64)
+    blocks = np.array_split(np.arange(c.PHRASES_OF_A_BUCKET), 8)
+    table = pa.table({
+        "hashes": [random_hashes[:, b].tobytes() for b in blocks], "counts": [np.full(len(b), 10, np.uint8).tobytes() for b in blocks]})
+    tracemalloc.start()
+    out = c.met(table, 3, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.num_rows == c.PHRASES_OF_A_BUCKET
+    assert peak < 100e6
