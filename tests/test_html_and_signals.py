@@ -170,3 +170,16 @@ def test_recorded_sites(spark):
     assert got["http://oak.test/zzz"]["status"] == 404
     assert got["https://wall.test/"]["blocked"] and got["https://wall.test/"]["status"] == 403
     assert got["https://gone.test/"]["error"] == fv.UNRESOLVED_HOST_ERROR
+
+
+def test_patterns_led_by_their_first_letters():
+    """The test of the first letter refuses only places where the pattern can't begin; patterns it can't read stay."""
+    assert sg.led("hvac|air condition") == "(?=[ah])(?:hvac|air condition)"
+    assert sg.led(r"\b(?:for|more (?:or|than))\s+(\d+)") == r"(?=[fm])(?:\b(?:for|more (?:or|than))\s+(\d+))"
+    for kept in ("5[- ]star|review", "b?ook", "(?:a|b)c", r"\d+ years", "x*|y"):
+        assert sg.led(kept) == kept
+    text = "For 12 years. More than 40 YEARS; we’re Now Hiring, HVAC and air  condition, Founded in 1999, est. 1950 membership"
+    for pattern in [*fv.KEYWORD_PATTERNS.values(), *fv.INDUSTRY_PATTERNS.values(), fv.RECURRING_PATTERN, fv.FOUNDED_PATTERN, fv.YEARS_PATTERN,
+                    fv.HEADCOUNT_PATTERN]:
+        found = [(m.span(), m.groups()) for m in re.finditer("(?i)" + pattern, text)]
+        assert [(m.span(), m.groups()) for m in re.finditer("(?i)" + sg.led(pattern), text)] == found
