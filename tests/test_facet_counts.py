@@ -3,6 +3,8 @@
 import random
 from datetime import date, datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from leadfit.operators import facets
 from leadfit.operators.views import apply_edits
 from leadfit.schemas import LEAD_TABLE
@@ -57,3 +59,19 @@ def test_a_change_counts_once_and_values_leave(spark, tmp_path):
     assert sorted(r["change"] for r in counts.changes().collect()) == ["x", "y"]
     assert counts.apply("empty", None, one.limit(0))
     same(counts, one.where("lead_key = 'b'").unionByName(done))
+
+
+def test_narrow_columns_give_the_same_facets(spark):
+    """Counting needs neither breakdowns nor the signals' texts; what is rewritten at each change goes without them."""
+    values = [("a", "enriched", "A", "new", "valid", "Toys", (True, False, None)), ("b", "failed", "B", None, None, None, (None, True, "HVAC")),
+              ("c", "pending", None, "new", "role", "", (None, None, "HVAC"))]
+    leads = spark.createDataFrame(
+        values, "lead_key string, status string, tier string, stage string, email_status string, industry string, "
+                "signals struct<succession:boolean,family_owned:boolean,industry_guess:string>")
+    wide = leads.withColumns({c: F.lit("x") for c in ("breakdown", "flags", "brief", "notes")}).withColumn(
+        "signals", F.col("signals").withField("description", F.lit("long text")))
+    narrow = facets.facet_columns(wide, "notes")
+    assert narrow.columns == ["lead_key", "status", "tier", "stage", "email_status", "industry", "signals", "notes"]
+    assert narrow.select("signals.*").columns == ["succession", "family_owned", "industry_guess"]
+    rows = sorted(map(tuple, facets.facet_rows(wide).collect()))
+    assert sorted(map(tuple, facets.facet_rows(narrow).collect())) == rows and len(rows) > 9
