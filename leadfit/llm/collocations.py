@@ -34,7 +34,7 @@ BYTES_AT_ONCE = 1 << 20  # text of a portion; a longer text is a portion of its
 GROUP_BYTES = 4 << 20  # portions that a reading task holds at once
 ENTRIES_AT_ONCE = 1 << 18  # distinct phrases that a task holds before it sends them on
 PHRASES_OF_A_BUCKET = 1 << 19  # occurrences for each bucket of phrases that are added up together
-PHRASES_OF_A_TRIE = 1 << 19  # bound of a broadcast trie
+PHRASES_OF_A_TRIE = 1 << 18  # bound of a broadcast trie
 FILTER_BITS = 26  # size of the bitmaps of frequent parts, 8 MB, whatever the corpus
 BLOCK_BITS = 12  # phrases whose sums are added up together
 SALTS = 32
@@ -340,6 +340,8 @@ def phrase_counts(texts: DataFrame, phrases: DataFrame) -> DataFrame:
         trie = spark.sparkContext.broadcast(DoubleArrayTrie.of(hashes, sizes))
         names = spark.sparkContext.broadcast((hashes, sizes))
         out = out.union(written(_counted(texts, trie, names), "counts"))
+        for sent in (trie, names):  # else executors hold all of them until the driver collects its garbage
+            sent.destroy()
     return out
 
 
@@ -437,6 +439,8 @@ def collocations(docs: DataFrame, least: int = LEAST, share: int = SHARE, top: i
     pairs = written(frequent_phrases(texts, 2, filters, least, buckets), "pairs")
     filters.append(bitmap_of(spark, pairs, "key"))
     triples = written(frequent_phrases(texts, 3, filters, least, buckets), "triples")
+    for bitmap in filters:
+        bitmap.destroy()
     none = F.lit(0).cast("long")
     phrases = words.select(F.col("hash").alias("h1"), none.alias("h2"), none.alias("h3"), F.lit(1).alias("size"))
     for size, found in ((2, pairs), (3, triples)):

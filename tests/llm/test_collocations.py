@@ -137,3 +137,12 @@ def test_memory_of_a_full_bucket():
     tracemalloc.stop()
     assert out.num_rows == c.PHRASES_OF_A_BUCKET
     assert peak < 100e6
+
+
+def test_broadcasts_go_as_soon_as_they_are_used(spark, monkeypatch):
+    """Tries and bitmaps of earlier passes stay on no executor."""
+    sent, send = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(send(self, value)) or sent[-1])
+    docs = spark.createDataFrame([(1, "to be or not to be. " * 20, "en")], "doc_id long, text string, lang string")
+    assert c.collocations(docs).count() > 0
+    assert len(sent) >= 4 and not any(b._jbroadcast.isValid() for b in sent)
