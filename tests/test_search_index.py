@@ -4,6 +4,7 @@ import random
 import shutil
 
 import pytest
+from pyspark.sql import functions as F
 
 from leadfit.operators.filters import search_text
 from leadfit.sources.search_index import SearchIndex, runs_of
@@ -62,3 +63,14 @@ def test_empty_and_unfinished(spark, tmp_path):
     store.add(spark.createDataFrame([("a", "Alder", None, None), ("b", None, None, None)], COLS))
     store._append("texts", "000000000009-broken", spark.createDataFrame([("a", "Birch", None, None), ("c", "Alder", None, None)], COLS))
     assert [r["lead_key"] for r in SearchIndex(spark, str(tmp_path)).search("ALDER").collect()] == ["a"]
+
+
+def test_a_task_writes_a_bounded_part_of_the_postings(spark, tmp_path):
+    """Postings hold hashes instead of keys, and no file holds many more than the bound, however many runs a bucket has."""
+    rows = [(f"key-{k}", f"Alder Heating {k}", f"s{k}.test", "Town") for k in range(2_000)]
+    SearchIndex(spark, str(tmp_path), buckets=4).add(spark.createDataFrame(rows, COLS), 4_000)
+    postings = spark.read.parquet(f"{tmp_path}/postings")
+    assert dict(postings.dtypes)["lead_key"] == "bigint"
+    per_file = postings.groupBy(F.input_file_name().alias("file")).count().agg(F.max("count")).first()[0]
+    assert per_file <= 4_000 and sorted(r["lead_key"] for r in SearchIndex(spark, str(tmp_path)).search("heating 77").collect()) == sorted(
+        r[0] for r in rows if "heating 77" in r[1].lower())
