@@ -25,11 +25,11 @@ def export_crm_csv(leads: DataFrame, path: str, single_file: bool = False) -> No
 
 
 def write_snapshot_json(leads: DataFrame, params: DataFrame, path: str) -> None:
-    """leads/, details/ and raw_industries/ as JSON lines, stats/ and settings/ as one document each."""
+    """leads/, details/ and raw_industries/ as JSON lines (gzip), stats/ and settings/ as one document each."""
     leads = materialize(leads, "snapshot-leads")  # read five times
-    lead_view(sort_leads(leads)).write.json(f"{path}/leads")
-    lead_detail(leads).write.json(f"{path}/details")
-    leads.select("lead_key", "industry").write.option("ignoreNullFields", False).json(f"{path}/raw_industries")
+    lead_view(sort_leads(leads)).write.json(f"{path}/leads", compression="gzip")
+    lead_detail(leads).write.json(f"{path}/details", compression="gzip")
+    leads.select("lead_key", "industry").write.option("ignoreNullFields", False).json(f"{path}/raw_industries", compression="gzip")
     facets.stats(leads).write.json(f"{path}/stats")
     params.write.json(f"{path}/settings")
 
