@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadfit.operators.merging import fill_stored, match_keys, named_cities, new_leads, union_rows
+from leadfit.operators.skew import HOT_ROWS
 from leadfit.schemas import LEAD_FIELDS, LEAD_TABLE
 from leadfit.sources.tables import VersionedTable, materialize
 
@@ -81,7 +82,7 @@ class LeadStore:
         placed = rows.select(*PARTS[name], self._bucket(BUCKET_OF[name]).alias("bucket"))
         placed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{name}/batch={folder}")
 
-    def upsert(self, incoming: DataFrame, batch_id: str, today: date, icp: dict | None = None, hot_rows: int = 1_000_000) -> DataFrame:
+    def upsert(self, incoming: DataFrame, batch_id: str, today: date, icp: dict | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
         """The batch's matches (incoming rows with `matched_key`) after writing what it changes: matched leads filled up,
         the others inserted, as `upsert_leads` does. `incoming` comes from `dedupe_merge`. A batch that is delivered
         again fills and adds nothing."""
