@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from leadfit.plans.importing import import_rows
+from leadfit.plans.importing import import_canonical
 from leadfit.sources.lead_files import scan_lead_files
 from leadfit.sources.lead_store import LeadStore
 from leadfit.sources.tables import VersionedTable
@@ -35,7 +35,7 @@ def incremental_import(
     def upsert(batch: DataFrame, epoch: int) -> None:
         files = [r["file"] for r in batch.distinct().orderBy("file").collect()]
         if files:
-            import_rows(table, scan_lead_files(spark, *files, multi_line=multi_line), f"stream-{epoch}", today)
+            import_canonical(table, scan_lead_files(spark, *files, multi_line=multi_line), f"stream-{epoch}", today)
 
     return (
         starts.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)

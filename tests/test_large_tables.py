@@ -10,6 +10,7 @@ from pyspark.sql.readwriter import DataFrameWriter
 from leadfit.operators import contacts
 from leadfit.operators.merging import new_leads
 from leadfit.operators.skew import balanced_left_join
+from leadfit.plans import importing
 from leadfit.plans.enrichment import enrich_leads
 from leadfit.schemas import LEAD_FIELDS, SIGNALS
 from leadfit.sources.tables import VersionedTable, compiled_methods, materialize
@@ -80,3 +81,13 @@ def test_frequent_hosts_are_counted_before_signals_are_joined(spark, monkeypatch
     hosts, = sources
     assert sorted(str(r[0]) for r in hosts.collect()) == ["None", "None", "one.test", "two.test"]
     assert "Join" not in hosts._jdf.queryExecution().analyzed().toString()
+
+
+def test_scanned_cells_are_cleaned_once(spark, tmp_path, monkeypatch):
+    def again(rows):
+        raise AssertionError("cells of a scan are clean")
+
+    monkeypatch.setattr(importing, "canonical_rows", again)
+    (tmp_path / "a.csv").write_text("Company,Town,URL\n  Oak   grove ,, oak.test\nOak, Kiel,www.oak.test\n , Ulm,\n")
+    leads = importing.import_csv(spark, VersionedTable(spark, str(tmp_path / "t")), str(tmp_path / "a.csv"), "b1", DAY)
+    assert [(r["name"], r["city"], r["domain"]) for r in leads.collect()] == [("Oak grove", "Kiel", "oak.test")]
